@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from veilmill.functions.rng import gumbel, hash_int, key_text, uniform
 from veilmill.session import cut_lineage
 
-BLOCK_SIZE = 1024
+BLOCK_SIZE = 256
 Utility = Callable[[Column], Column]
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilmill.sources.corpus import cap_by_id, corpus_filter
-from veilmill.sources.store import upsert_triples, with_key
+from veilmill.sources.store import read_store, upsert_triples, with_key
 
 CORPUS_SCHEMA = "doc_id bigint, text string, lang string"
 
@@ -65,7 +66,11 @@ def _accepted_before(spark: SparkSession, path: str, batch_id: int) -> int:
 def ingest_stats(spark: SparkSession, store_path: str, accepted_path: str) -> DataFrame:
     """One row: documents accepted and triples stored so far."""
     docs = spark.read.schema("doc_id bigint, batch bigint").parquet(accepted_path)
-    triples = spark.read.parquet(store_path)
-    one = docs.groupBy().count().withColumnRenamed("count", "documents")
-    two = triples.groupBy().count().withColumnRenamed("count", "triples")
-    return one.join(two)
+    triples = read_store(spark, store_path)
+    marks = docs.select(F.lit(1).alias("d"), F.lit(0).alias("t")).unionAll(
+        triples.select(F.lit(0).alias("d"), F.lit(1).alias("t"))
+    )
+    return marks.agg(
+        F.coalesce(F.sum("d"), F.lit(0)).alias("documents"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("triples"),
+    )
