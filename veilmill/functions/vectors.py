@@ -24,9 +24,15 @@ def norm(vec: Column) -> Column:
 
 def normalize(vec: Column) -> Column:
     """Scale to unit length; the zero vector stays as it is."""
-    length = norm(vec)
     doubled = as_double(vec)
-    return F.when(length == 0, doubled).otherwise(F.transform(doubled, lambda x: x / length))
+    # The length is bound as a lambda variable, so it is computed once per vector.
+    scaled = F.transform(
+        F.array(norm(vec)),
+        lambda length: F.when(length == 0, doubled).otherwise(
+            F.transform(doubled, lambda x: x / length)
+        ),
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

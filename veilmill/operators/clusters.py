@@ -60,6 +60,25 @@ def _closeness(vectors: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarr
     return 2.0 * vectors @ matrix.T - (vectors**2).sum(1)[:, None] - (matrix**2).sum(1)
 
 
+def _closest_of(shared, metric: str):
+    """Batch function: the best score and centroid id within one broadcast matrix."""
+
+    @F.pandas_udf("score double, id bigint")
+    def closest(batch: pd.Series) -> pd.DataFrame:
+        ids, matrix = shared.value
+        rows = max(1, CHUNK_CELLS // len(ids))
+        scores, winners = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for start in range(0, len(batch), rows):
+            part = np.stack(batch.iloc[start : start + rows].to_numpy()).astype(np.float64)
+            close = _closeness(part, matrix, metric)
+            at = close.argmax(axis=1)
+            scores.append(close[np.arange(len(at)), at])
+            winners.append(ids[at])
+        return pd.DataFrame({"score": np.concatenate(scores), "id": np.concatenate(winners)})
+
+    return closest
+
+
 def nearest_centroid(
     vecs: DataFrame,
     centroids: DataFrame,
@@ -81,23 +100,7 @@ def nearest_centroid(
         return vecs.withColumn(out, F.lit(None).cast("int"))
     best: Column | None = None
     for ids, matrix in _matrix_blocks(centroids, first[0]):
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        @F.pandas_udf("score double, id bigint")
-        def closest(batch: pd.Series, shared=shared) -> pd.DataFrame:
-            ids, matrix = shared.value
-            rows = max(1, CHUNK_CELLS // len(ids))
-            scores, winners = [], []
-            for start in range(0, len(batch), rows):
-                part = np.stack(batch.iloc[start : start + rows].to_numpy()).astype(np.float64)
-                close = _closeness(part, matrix, metric)
-                at = close.argmax(axis=1)
-                scores.append(close[np.arange(len(at)), at])
-                winners.append(ids[at])
-            if not scores:
-                return pd.DataFrame({"score": [], "id": []})
-            return pd.DataFrame({"score": np.concatenate(scores), "id": np.concatenate(winners)})
-
+        closest = _closest_of(spark.sparkContext.broadcast((ids, matrix)), metric)
         name = "_best" if best is None else "_other"
         vecs = vecs.withColumn(name, closest(as_double(F.col(vec_col))))
         if best is None:

@@ -146,7 +146,7 @@ def _plain_embedded(docs: DataFrame) -> DataFrame:
 @query
 def stream_ingest(spark, sf):
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    stream = ingest.stream_corpus(spark, f"{sf}/documents.parquet")
+    stream = ingest.stream_corpus(spark, f"{sf}/documents*.parquet")
     ingest.stream_ingest(
         stream, _plain_embedded, f"{base}/store", f"{base}/accepted", f"{base}/checkpoint"
     ).awaitTermination()
@@ -156,7 +156,7 @@ def stream_ingest(spark, sf):
 @query
 def ingest_stats(spark, sf):
     base = f"{scratch_dir(spark)}/stats-{uuid.uuid4().hex}"
-    stream = ingest.stream_corpus(spark, f"{sf}/documents.parquet")
+    stream = ingest.stream_corpus(spark, f"{sf}/documents*.parquet")
     ingest.stream_ingest(
         stream, _plain_embedded, f"{base}/store", f"{base}/accepted", f"{base}/checkpoint"
     ).awaitTermination()
