@@ -24,15 +24,9 @@ def norm(vec: Column) -> Column:
 
 def normalize(vec: Column) -> Column:
     """Scale to unit length; the zero vector stays as it is."""
-    doubled = as_double(vec)
-    # The length is bound as a lambda variable, so it is computed once per vector.
-    scaled = F.transform(
-        F.array(norm(vec)),
-        lambda length: F.when(length == 0, doubled).otherwise(
-            F.transform(doubled, lambda x: x / length)
-        ),
-    )
-    return F.get(scaled, F.lit(0))
+    # Repeating the length evaluates it once per vector rather than once per component.
+    lengths = F.array_repeat(norm(vec), F.size(vec))
+    return F.zip_with(as_double(vec), lengths, lambda x, n: F.when(n == 0, x).otherwise(x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
