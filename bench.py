@@ -13,11 +13,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from veilmill.plans.queries import QUERIES  # noqa: E402
 from veilmill.session import build_session  # noqa: E402
 
+# Not in the default set, because untimed at sf0.1 so far: surviving_triples, stream_ingest,
+# eval_private, privatize_documents.  Name them as arguments to run them.
 HEADLINE = (
     "corpus_filter", "extract_triples", "minhash_signature", "lsh_index", "star_clusters",
-    "surviving_triples", "perplexity", "stream_ingest", "nearest_centroid", "cluster_topk",
-    "privatize_triples", "noise_analytic", "sample_tokens", "sweep", "cosine_summary", "eval_private",
-    "privatize_documents",
+    "perplexity", "nearest_centroid", "cluster_topk", "privatize_triples", "noise_analytic",
+    "sample_tokens", "sweep", "cosine_summary",
 )
 
 
