@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH_KEY = "veilmill.scratch.dir"
+_shipped: set[str] = set()
 
 
 def build_session(master: str | None = None, app: str = "veilmill", **conf: str) -> SparkSession:
@@ -34,6 +37,24 @@ def build_session(master: str | None = None, app: str = "veilmill", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark context.
+
+    Functions that run in Python workers are sent by name, so the workers must be able to import them
+    wherever the session was started.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="veilmill-code-")) / "veilmill_code.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables, one sub-folder per session."""
     known = spark.conf.get(_SCRATCH_KEY, None)
