@@ -37,7 +37,7 @@ from veilmill.llm.common import text_udf
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 #: Distinct words whose tokens a task remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -242,7 +242,7 @@ class Words(dict):
     def trim(self) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        if len(self.seen) > 4 * REMEMBERED:
+        if len(self.seen) > 2 * REMEMBERED:
             self.seen.clear()
 
 
@@ -316,26 +316,37 @@ def decode(docs: DataFrame, shared, ids: str = "ids", into: str = "decoded") ->
     return docs.withColumn(into, texts(F.col(ids)))
 
 
-def ids_digest(ids):
-    """sha256 of ids as little-endian unsigned 32-bit integers, lowercase hex."""
-    packed = text_udf(lambda: lambda x: b"" if x is None else np.asarray(x).astype("<u4").tobytes(), "binary")
-    return F.sha2(packed(ids), 256)
+def round_trip(docs: DataFrame, shared, text: str = "text", into: str = "tokens") -> DataFrame:
+    """Add a struct ``into``: the ids as little-endian unsigned 32-bit integers, and the text decoded from them.
+
+    Both steps run in one Python worker per task, which holds the tables and remembered words once.
+    """
+
+    def make():
+        coder = _coder(shared)
+
+        def one(value: str | None) -> tuple[bytes, str]:
+            ids = coder.encode(value)
+            return ids.tobytes(), coder.decode(ids)
+
+        return one
+
+    return docs.withColumn(into, text_udf(make, "ids binary, decoded string")(F.col(text)))
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Encode, decode and give ``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row."""
     shared = broadcast_automaton(docs.sparkSession, path)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    coded = decode(encode(rows, shared), shared)
-    return coded.select(
+    return round_trip(rows, shared).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        (F.octet_length("tokens.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("tokens.ids", 256).alias("ids_sha256"),
+        F.sha2("tokens.decoded", 256).alias("decoded_sha256"),
     )
 
 
 __all__ = [
     "Automaton", "Coder", "broadcast_automaton", "compile_automaton", "decode", "digests", "encode",
-    "load_automaton",
+    "load_automaton", "round_trip",
 ]
