@@ -107,10 +107,9 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql.strip()
 
 
-cte("docs", """
-SELECT doc_id, text, lang, source FROM documents WHERE lang = 'en' AND length(text) <= 10000
-""")
-cte("en_docs", "SELECT doc_id, text FROM documents WHERE lang = 'en'")
+cte("docs", "SELECT doc_id, text, lang, source FROM documents")
+cte("accepted", "SELECT doc_id, text FROM documents WHERE lang = 'en' AND length(text) <= 10000")
+cte("accepted_triples", "SELECT t.* FROM triples t JOIN accepted USING (doc_id)")
 cte("turns", "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")
 cte("items", "SELECT item_id AS doc_id, text FROM benchmark")
 
@@ -224,7 +223,6 @@ def perplexity(prefix: str, source: str, ids: str) -> str:
 
 
 language_model("", "docs")
-language_model("en_", "en_docs")
 language_model("turn_", "turns")
 
 cte("covered", """
@@ -579,9 +577,9 @@ _SQL = {
         SELECT 'documents' AS dataset, doc_id, text FROM documents
         UNION ALL SELECT 'pages', page_id, html FROM pages
         UNION ALL SELECT 'benchmark', item_id, text FROM benchmark""",
-    "stream_ingest": "SELECT DISTINCT md5(triple) AS key, triple AS text FROM triples",
+    "stream_ingest": "SELECT DISTINCT md5(triple) AS key, triple AS text FROM accepted_triples",
     "ingest_stats": """
-        SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(DISTINCT triple) FROM triples) AS triples""",
+        SELECT (SELECT count(*) FROM accepted) AS documents, (SELECT count(DISTINCT triple) FROM accepted_triples) AS triples""",
     "triple_store_upsert": """
         SELECT md5(triple) AS key, triple AS text
         FROM (SELECT triple FROM triples UNION SELECT triple FROM item_triples)""",
@@ -592,8 +590,8 @@ _SQL = {
     "release_roundtrip": """
         SELECT r.dataset, r.method, r.epsilon, r.doc_id, r.text, d.lang FROM released r JOIN docs d USING (doc_id)""",
     "release_discovery": "SELECT dataset, method, epsilon, count(*) AS n FROM released GROUP BY ALL",
-    "corpus_filter": "SELECT doc_id, text FROM docs",
-    "corpus_cap": "SELECT doc_id FROM docs ORDER BY doc_id LIMIT 400",
+    "corpus_filter": "SELECT doc_id, text FROM accepted",
+    "corpus_cap": "SELECT doc_id FROM accepted ORDER BY doc_id LIMIT 400",
     "truncate_tokens": f"SELECT doc_id, array_to_string({tokens('text')}[1:512], ' ') AS head FROM documents",
     "no_triple_policy": f"""
         SELECT p AS policy, d.doc_id, {_policy_text} AS text
@@ -618,10 +616,10 @@ _SQL = {
     "triple_ppl": "SELECT doc_id, pos, n_words, round(ppl, 6) AS ppl FROM covered_ppl",
     "cluster_best": "SELECT doc_id, seed, pos FROM best",
     "surviving_triples": "SELECT doc_id, pos, triple FROM survivors",
-    "ngram_counts": "SELECT prev, word, n FROM en_counts",
-    "ngram_lm_probabilities": "SELECT prev, word, n, n_prev, round(exp(logp / 1e9), 6) AS p FROM en_lm",
-    "perplexity": f"SELECT doc_id, n_words, round(ppl, 4) AS ppl FROM ({perplexity('en_', 'en_docs', 'doc_id')})",
-    "perplexity_mean": f"SELECT round(avg(ppl), 4) AS mean_ppl FROM ({perplexity('en_', 'en_docs', 'doc_id')})",
+    "ngram_counts": "SELECT prev, word, n FROM counts",
+    "ngram_lm_probabilities": "SELECT prev, word, n, n_prev, round(exp(logp / 1e9), 6) AS p FROM lm",
+    "perplexity": f"SELECT doc_id, n_words, round(ppl, 4) AS ppl FROM ({perplexity('', 'docs', 'doc_id')})",
+    "perplexity_mean": f"SELECT round(avg(ppl), 4) AS mean_ppl FROM ({perplexity('', 'docs', 'doc_id')})",
     "embed_triples": components("tt_vecs", "triple", "vec", DIM),
     "truncate_dim": components("vecs32", "vec_id", "vec", DIM),
     "kmeans_refine": components("km3", "cluster_id", "centroid", DIM),

@@ -50,9 +50,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The accepted documents: English, at most 10,000 characters."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    return corpus.spread(corpus.corpus_filter(docs))
+    """All documents; only the public corpus is filtered (``corpus_filter``)."""
+    return corpus.spread(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +324,7 @@ def surviving_triples(spark, sf):
 
 
 def _lm_corpus(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 @query
