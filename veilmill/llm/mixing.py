@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmill.session import cut_lineage
+
 TEMPERATURE = 0.5  #: default target: shares in proportion to this power of the row counts
 LARGEST_MEAN = 500.0  #: bounds the table of the distribution function; no mean may be larger
 
@@ -62,7 +64,10 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
 
 def replicate(docs: DataFrame, wanted: DataFrame, seed: str, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Each row as often as it drew: all columns, and ``_copy`` (from 1), ``_n_copies``, ``_mean``."""
-    table = wanted.select(F.col("source").alias("_source"), F.col("mean").alias("_mean"), distribution(F.col("mean")).alias("_below"))
+    # Written first: with the size known Spark broadcasts it while it is small, and else joins by source.
+    table = cut_lineage(
+        wanted.select(F.col("source").alias("_source"), F.col("mean").alias("_mean"), distribution(F.col("mean")).alias("_below")), "rates"
+    )
     drawn = docs.join(table, docs[source].eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, F.col(doc_id)))
     counted = drawn.withColumn("_n_copies", F.size(F.filter("_below", lambda x: x <= F.col("_u"))))
     kept = counted.where("_n_copies > 0").drop("_below", "_u", "_source")
