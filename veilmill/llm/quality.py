@@ -110,16 +110,16 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = {0: np.zeros((d, d)), 1: np.zeros((d, d))}
     for batch in batches:
         for label, part in batch.groupby("label"):
-            x = np.array([[1.0, *features(t)] for t in part["text"]])
+            x = np.array([[1.0, *f] for f in part["features"]])
             total[int(label)] += x.T @ x
     for label, m in total.items():
         if m[0, 0]:
             yield pd.DataFrame({"label": label, "cell": np.arange(d * d), "value": m.ravel()})
 
 
-def learn(labelled: DataFrame, text: str = "text", label: str = "label", *, pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant:
+def learn(labelled: DataFrame, given: str = "features", label: str = "label", *, pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant:
     """Fit to all rows whose ``label`` is 0 or 1."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    rows = labelled.select(F.col(given).alias("features"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     cells = rows.mapInPandas(_moments, "label int, cell int, value double").groupBy("label", "cell").agg(F.sum("value").alias("value"))
     d = len(_NAMES) + 1
     moments = np.zeros((2, d, d))
@@ -161,12 +161,16 @@ def with_score(docs: DataFrame, model: Discriminant, text: str = "text", into: s
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``text, label`` of the documents outside the held-out third that have a quality label."""
+    """``features, label`` of the documents outside the held-out third that have a quality label.
+
+    The statistics are made before the join, so texts aren't exchanged.
+    """
     known = labels.select(F.col("doc_id").alias("of_doc"), F.col("quality").alias("label")).where(
         (F.col("label").isin(0, 1)) & (fold(F.col("of_doc"), 3) != 1)
     )
-    rows = docs.select("doc_id", "text")
-    return rows.join(known, rows.doc_id == known.of_doc).select("text", "label")
+    numbers = text_udf(lambda: features, "array<double>")
+    rows = docs.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", numbers(F.col("text")).alias("features"))
+    return rows.join(known, rows.doc_id == known.of_doc).select("features", "label")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
