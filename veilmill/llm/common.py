@@ -46,3 +46,9 @@ def text_udf(make: Callable[[], Callable[[str | None], object]], returns: T.Data
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def drawn(key: Column, wanted: int | Column, of: int | Column) -> Column:
+    """Whether the hash of ``key`` puts its row among about ``wanted`` of ``of`` rows; all if there are fewer."""
+    place = F.shiftrightunsigned(F.xxhash64(key), 12) / float(1 << 52)
+    return place * F.lit(of) < F.lit(wanted)

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Every text gets the base counts.  Texts that pass the base rules go through further rules, which stop at
-the first that rejects.  ``plan`` runs all rules on a bounded sample of rows (those with the smallest
-hashed ids), takes the seconds each one needs and the share it rejects, and orders them by rejections per
-second.  The order changes the work, never the verdict: a text is kept if no rule rejects it.
+the first that rejects.  ``plan`` runs all rules on a sample of about ``SAMPLE_ROWS`` rows (those whose
+hash lies below a threshold that the row count gives), takes the seconds each one needs and the share
+it rejects, and orders them by rejections per second.  The sample is measured where it lies: no task
+gathers it.  The order changes the work, never the verdict: a text is kept if no rule rejects it.
 
 Defined results: a null or empty text has zero counts and fails the base rules.  Repeated rows give equal
 results.  Windows of words are compared exactly, through ranks of pairs, however long the text is.
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmill.llm.common import text_udf
+from veilmill.llm.common import drawn, text_udf
 
 WINDOW = 8  #: words of a window whose repetition counts
 SAMPLE_ROWS = 400  #: rows on which costs and selectivities are estimated
@@ -99,9 +100,9 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[str]:
     """The rules by rejections per second on the sample, best first; ties by name."""
-    sample = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("at")).orderBy("at").limit(rows)
+    sample = docs.where(drawn(F.xxhash64(doc_id, text), rows, docs.count())).select(F.col(text).alias("text"))
     measured = (
-        sample.select("text").mapInPandas(_measured, "rule string, seconds double, rejected double")
+        sample.mapInPandas(_measured, "rule string, seconds double, rejected double")
         .groupBy("rule").agg(F.avg("seconds").alias("cost"), F.avg("rejected").alias("share")).collect()
     )
     worth = {r.rule: r.share / max(r.cost, 1e-9) for r in measured}
