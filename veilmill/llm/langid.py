@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmill.llm.common import fold, text_udf
+from veilmill.llm.common import drawn, fold, text_udf
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 400  #: labelled rows per language that a dictionary is made of
@@ -83,24 +83,31 @@ def learn(
     labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", *,
     rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES, level: int = LEVEL, narrow: float = NARROW,
 ) -> Dictionaries:
-    """Dictionaries from at most ``rows`` rows of each language, those with the smallest hashed ids.
+    """Dictionaries from at most ``rows`` rows of each language, those with the smallest hashes.
 
+    Twice as many are drawn first, by a threshold on the hash that the number of different rows of the
+    language gives, so no task ranks more than about that.  Equal rows count once.
     Rows with a null language or no letter in the text don't count.  Each row gives its first
     ``size / rows`` bytes; classification itself always reads whole texts.
     """
     usable = labelled.select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("at")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("at")
     ).where("lang is not null and text rlike '\\\\p{L}'")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    counts = usable.groupBy("lang").agg(
+        F.count("*").alias("count"), F.approx_count_distinct("at").alias("different")
+    ).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    drawn = (
-        usable.withColumn("text", F.substring("text", 1, -(-size // rows)))
+    # No language at all gives an empty map, whose rows are none.
+    of = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, float(r.different)))) if counts else F.lit(None).cast("map<string,double>")
+    sample = (
+        usable.where(drawn(F.col("at"), 2 * rows, of[F.col("lang")]))
+        .select("lang", "at", F.substring("text", 1, -(-size // rows)).alias("text")).distinct()
         .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text")))
         .where(F.col("n") <= rows)
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts"))
     )
-    texts = {r.lang: [x.text for x in r.texts] for r in drawn.collect()}
+    texts = {r.lang: [x.text for x in r.texts] for r in sample.collect()}
     content = {}
     for r in counts:
         share = size // max(1, len(texts[r.lang]))
