@@ -91,3 +91,22 @@ def test_noise_moments_and_sharing(spark):
     by_column = noise.add_noise(vecs.withColumn("e", F.lit(10.0)), "e", "laplace", "s")
     fixed = noise.add_noise(vecs, 10.0, "laplace", "s", dim=64)
     assert by_column.select("pos", "vec").exceptAll(fixed.select("pos", "vec")).isEmpty()
+
+
+def test_no_word_is_left_in_clear(spark):
+    from veilmill.operators import tokens as tk
+
+    docs = spark.createDataFrame([(1, "Zyx, qwv! zyx 42 known."), (2, "known"), (3, "..."), (4, "")], "doc_id long, text string")
+    near = spark.createDataFrame([("known", "alpha", 1.0), ("known", "beta", 2.0)], "word string, candidate string, distance double")
+    fits = near.select(F.col("word").alias("prev"), "candidate", (-F.col("distance")).alias("logit"))
+    slots = {(r.doc_id, r.pos): r for r in tk.word_slots(docs, F.lit(9.0)).collect()}
+    assert [slots[1, p].prev for p in (0, 2, 4, 5, 6)] == ["<s>", "zyx", "qwv", "zyx", "42"]
+    for made in (
+        tk.replace_words(docs, near, F.lit(9.0), 6.0, "s"),
+        tk.rewrite_tokens(docs, fits, F.lit(9.0), "s", -12.0, 0.0),
+    ):
+        rows = {(r.doc_id, r.pos): r.token for r in made.collect()}
+        assert rows.keys() == slots.keys()
+        assert all(rows[k] in ("alpha", "beta") if s.is_word else rows[k] == s.token for k, s in slots.items())
+    nothing = tk.replace_words(docs, near.limit(0), F.lit(9.0), 6.0, "s")
+    assert {r.token for r in nothing.collect()} == {tk.HIDDEN, ",", "!", "."}

@@ -223,7 +223,6 @@ def perplexity(prefix: str, source: str, ids: str) -> str:
 
 
 language_model("", "docs")
-language_model("turn_", "turns")
 
 cte("covered", """
 SELECT DISTINCT t.doc_id, t.pos, replace(t.triple, ' | ', ' ') AS text
@@ -465,22 +464,35 @@ quality("runs_q", "sampled_runs")
 # Words of conversation turns as draw queries.
 _toks = tokens("text")
 cte("turn_slots", f"""
-SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS token, lower(CASE WHEN i = 1 THEN '<s>' ELSE t[i - 1] END) AS prev,
-       t[i] NOT IN {PUNCT} AS is_word, nw
-FROM (SELECT doc_id, {_toks} AS t, {word_tokens(_toks)} AS nw FROM turns) d, unnest(range(1, len(t) + 1)) r(i)
+SELECT *, coalesce(lower(last_value(CASE WHEN is_word THEN token END IGNORE NULLS) OVER (
+         PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), '<s>') AS prev
+FROM (SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS token, t[i] NOT IN {PUNCT} AS is_word, nw
+      FROM (SELECT doc_id, {_toks} AS t, {word_tokens(_toks)} AS nw FROM turns) d, unnest(range(1, len(t) + 1)) r(i))
 """)
 cte("rep_queries", f"""
-SELECT doc_id, pos, lower(token) AS word, {EPSILON} / nw * {GAMMA} AS eps FROM turn_slots WHERE is_word
+SELECT doc_id, pos, coalesce(h.prev, '') AS word,
+       CASE WHEN h.prev IS NULL THEN 0.0::DOUBLE ELSE {EPSILON} / nw * {GAMMA} END AS eps
+FROM turn_slots s LEFT JOIN hist h ON h.prev = lower(s.token) WHERE is_word
+""")
+cte("rep_members", f"""
+SELECT prev AS word, word AS key, -(logp / 1e9) AS distance FROM lm
+UNION ALL SELECT DISTINCT '', word, {GAMMA}::DOUBLE FROM lm
 """)
-cte("rep_members", "SELECT prev AS word, word AS key, -(logp / 1e9) AS distance FROM turn_lm")
 draw("rd", "rep_queries", "rep_members", "word", "doc_id, pos",
      f"(1.0 - least(m.distance, {GAMMA}::DOUBLE) / {GAMMA})", "eps", DRAW_SEED, BLOCK)
-cte("mlm_queries", "SELECT doc_id, pos, prev, 50.0::DOUBLE / nw AS eps FROM turn_slots WHERE is_word")
-cte("mlm_members", "SELECT prev, word AS key, logp / 1e9 AS logit FROM turn_lm")
+cte("mlm_queries", """
+SELECT doc_id, pos, coalesce(h.prev, '') AS prev, 50.0::DOUBLE / nw AS eps
+FROM turn_slots s LEFT JOIN hist h ON h.prev = s.prev WHERE is_word
+""")
+cte("mlm_members", """
+SELECT prev, word AS key, logp / 1e9 AS logit FROM lm
+UNION ALL SELECT '', word, ln(sum(n) / (SELECT sum(n) FROM lm)) FROM lm GROUP BY word
+""")
 draw("md", "mlm_queries", "mlm_members", "prev", "doc_id, pos",
      f"(({clamp('m.logit', LM_LOW, LM_HIGH)} - ({LM_LOW})) / {LM_HIGH - LM_LOW})", "eps", DRAW_SEED, BLOCK)
 cte("mlm_out", """
-SELECT s.doc_id, s.pos, coalesce(d.key, s.token) AS token FROM turn_slots s LEFT JOIN md_drawn d USING (doc_id, pos)
+SELECT s.doc_id, s.pos, CASE WHEN is_word THEN coalesce(d.key, '_') ELSE s.token END AS token
+FROM turn_slots s LEFT JOIN md_drawn d USING (doc_id, pos)
 """)
 
 cte("logits", "SELECT doc_id, pos, (i - 1)::INTEGER AS token, vec[i] * 60.0 AS logit FROM vecs, unnest(range(1, 65)) r(i)")
@@ -675,7 +687,7 @@ _SQL = {
         SELECT doc_id, pos, arg_max(token, {clamp('logit')} / ({_mlm_temperature} / 100.0::DOUBLE)
                + {gumbel(DRAW_SEED, 'doc_id', 'pos', 'token')}) AS token FROM logits GROUP BY doc_id, pos""",
     "replace_words": """
-        SELECT s.doc_id, s.pos, coalesce(d.key, CASE WHEN is_word THEN lower(token) ELSE token END) AS token
+        SELECT s.doc_id, s.pos, CASE WHEN is_word THEN coalesce(d.key, '_') ELSE token END AS token
         FROM turn_slots s LEFT JOIN rd_drawn d USING (doc_id, pos)""",
     "rewrite_tokens": "SELECT doc_id, pos, token FROM mlm_out",
     "rewrite_text": f"""

@@ -577,8 +577,15 @@ def word_budget(spark, sf):
 
 
 def _turn_model(spark, sf):
-    docs = turns(spark, sf)
-    return docs, ngram_lm.train_ngram_lm(docs)
+    """Conversation turns as private texts, and a model of other, public ones."""
+    return turns(spark, sf), ngram_lm.train_ngram_lm(corpus.spread(_lm_corpus(spark, sf)))
+
+
+def _rewritten(spark, sf):
+    docs, lm = _turn_model(spark, sf)
+    return tk.rewrite_tokens(
+        docs, tk.bigram_candidates(lm), F.lit(50.0), DRAW_SEED, LM_LOW, LM_HIGH, fallback=tk.unigram_candidates(lm)
+    )
 
 
 @query
@@ -592,16 +599,12 @@ def replace_words(spark, sf):
 
 @query
 def rewrite_tokens(spark, sf):
-    docs, lm = _turn_model(spark, sf)
-    return tk.rewrite_tokens(docs, tk.bigram_candidates(lm), F.lit(50.0), DRAW_SEED, LM_LOW, LM_HIGH)
+    return _rewritten(spark, sf)
 
 
 @query
 def rewrite_text(spark, sf):
-    docs, lm = _turn_model(spark, sf)
-    return tk.join_tokens(
-        tk.rewrite_tokens(docs, tk.bigram_candidates(lm), F.lit(50.0), DRAW_SEED, LM_LOW, LM_HIGH)
-    )
+    return tk.join_tokens(_rewritten(spark, sf))
 
 
 # ---- grids --------------------------------------------------------------------------------
