@@ -97,14 +97,14 @@ def clip_vectors(vecs: DataFrame, low: float = CLIP_LOW, high: float = CLIP_HIGH
 def add_noise(
     vecs: DataFrame,
     epsilon: float | str,
-    method: str = "analytic_gaussian",
-    seed="0",
+    method: str,
+    seed,
     delta: float = DELTA,
     width: float | None = None,
     noise_per: str = "row",
     dim: int | None = None,
 ) -> DataFrame:
-    """Add noise to ``vec`` of ``(doc_id, pos, vec)``.
+    """Add noise to ``vec`` of ``(doc_id, pos, vec)``; ``seed`` must be secret and fresh for each release.
 
     ``epsilon`` is a number (with ``dim``, the vector length) or a column name; a column is
     calibrated once per distinct value.  ``noise_per="doc"`` repeats one noise vector over
@@ -138,8 +138,8 @@ def add_noise(
 def privatize_vectors(
     vecs: DataFrame,
     epsilon: float | str,
-    method: str = "analytic_gaussian",
-    seed="0",
+    method: str,
+    seed,
     delta: float = DELTA,
     low: float = CLIP_LOW,
     high: float = CLIP_HIGH,

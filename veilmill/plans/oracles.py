@@ -270,9 +270,6 @@ SELECT vec_id, doc_id, pos, label, {unit(f'vec[1:{DIM}]')} AS vec FROM vecs
 cte("label_means", f"""
 SELECT label AS cluster_id, {mean_vec('vec', 64)} AS centroid FROM vecs GROUP BY label
 """)
-cte("label_means32", f"""
-SELECT label AS cluster_id, {mean_vec('vec', DIM)} AS centroid FROM vecs32 GROUP BY label
-""")
 
 
 def nearest(vecs: str, centroids: str, key: str, metric: str = "cosine", out: str = "cluster_id") -> str:
@@ -289,7 +286,7 @@ def sign_cell(bits: int, vec: str = "vec") -> str:
     return "(" + " + ".join(f"CASE WHEN {vec}[{i + 1}] > 0 THEN {2**i} ELSE 0 END" for i in range(bits)) + ")"
 
 
-cte("vec_cells", nearest("vecs32", "label_means32", "vec_id"))
+cte("vec_cells", nearest("vecs", "label_means", "vec_id"))
 
 
 def draw(
@@ -351,12 +348,12 @@ SIMILARITY = f"greatest({cosine('q.vec', 'm.vec')}, 0.0)"
 cte("vec_queries", f"""
 SELECT v.doc_id, v.pos, v.vec_id, v.vec, c.cluster_id,
        {EPSILON} / count(*) OVER (PARTITION BY v.doc_id) AS eps
-FROM vecs32 v JOIN vec_cells c USING (vec_id)
+FROM vecs v JOIN vec_cells c USING (vec_id)
 """)
 cte("vec_members", """
-SELECT label AS cluster_id, vec_id AS key, vec::FLOAT[]::DOUBLE[] AS vec FROM vecs32
+SELECT label AS cluster_id, vec_id AS key, vec::FLOAT[]::DOUBLE[] AS vec FROM vecs
 """)
-cte("vec_members64", "SELECT label AS cluster_id, vec_id AS key, vec FROM vecs32")
+cte("vec_members64", "SELECT label AS cluster_id, vec_id AS key, vec FROM vecs")
 for _name, _block in (("vd", BLOCK), ("vh", 16)):
     draw(_name, "vec_queries", "vec_members64", "cluster_id", "doc_id, pos, vec_id", SIMILARITY,
          "eps", DRAW_SEED, _block)
@@ -382,21 +379,21 @@ draw("td", "text_queries", "store_members", "cluster_id", "doc_id, pos", SIMILAR
 
 
 def verbalize(source: str, name: str) -> None:
-    """``(doc_id, text)``: triples in order as sentences, capped by the original's tokens."""
+    """``(doc_id, text)``: triples in order as sentences."""
     s, r, o = parse_ends("triple")
-    cte(f"{name}_said", f"""
+    cte(f"{name}_text", f"""
     SELECT doc_id, string_agg(concat(concat_ws(' ', {s}, {r}, {o}), '.'), ' ' ORDER BY pos) AS text
     FROM {source} GROUP BY doc_id
     """)
-    cte(f"{name}_text", f"""
-    SELECT s.doc_id, CASE WHEN len({tokens('s.text')}) > len({tokens('d.text')})
-      THEN {detokenize(f"{tokens('s.text')}[1 : len({tokens('d.text')})]")} ELSE s.text END AS text
-    FROM {name}_said s JOIN docs d USING (doc_id)
-    """)
 
 
 cte("td_chosen", "SELECT d.doc_id, d.pos, s.text AS triple FROM td_drawn d JOIN store s USING (key)")
 verbalize("triples", "nodp")
+cte("nodp_capped", f"""
+SELECT s.doc_id, CASE WHEN len({tokens('s.text')}) > len({tokens('d.text')})
+  THEN {detokenize(f"{tokens('s.text')}[1 : len({tokens('d.text')})]")} ELSE s.text END AS text
+FROM nodp_text s JOIN docs d USING (doc_id)
+""")
 verbalize("survivors", "kept")
 verbalize("td_chosen", "priv")
 cte("released", """
@@ -504,20 +501,20 @@ cte("grid", f"""
 SELECT source AS dataset, round(floor(avg({word_tokens(tokens('text'))})) * f, 4) AS epsilon
 FROM docs, (VALUES {', '.join(f'({f}::DOUBLE)' for f in FACTORS)}) x(f) GROUP BY source, f
 """)
-cte("signed_vecs", f"SELECT *, {sign_cell(4)} AS cell FROM vecs32")
-cte("km0", f"SELECT cell AS cluster_id, {mean_vec('vec', DIM)} AS centroid FROM signed_vecs GROUP BY cell")
+cte("signed_vecs", f"SELECT *, {sign_cell(4)} AS cell FROM vecs")
+cte("km0", f"SELECT cell AS cluster_id, {mean_vec('vec', 64)} AS centroid FROM signed_vecs GROUP BY cell")
 for _r in range(3):
-    cte(f"km_near{_r}", nearest("vecs32", f"km{_r}", "vec_id", "euclidean"))
+    cte(f"km_near{_r}", nearest("vecs", f"km{_r}", "vec_id", "euclidean"))
     cte(f"km{_r + 1}", f"""
     SELECT k.cluster_id, coalesce(m.centroid, k.centroid) AS centroid FROM km{_r} k LEFT JOIN (
-      SELECT n.cluster_id, {mean_vec('v.vec', DIM)} AS centroid
-      FROM km_near{_r} n JOIN vecs32 v USING (vec_id) GROUP BY n.cluster_id) m USING (cluster_id)
+      SELECT n.cluster_id, {mean_vec('v.vec', 64)} AS centroid
+      FROM km_near{_r} n JOIN vecs v USING (vec_id) GROUP BY n.cluster_id) m USING (cluster_id)
     """)
 for _bits in (2, 3, 4):
     cte(f"wb{_bits}", f"""
-    SELECT {sign_cell(_bits)} AS cluster_id, {mean_vec('vec', DIM)} AS centroid FROM vecs32 GROUP BY 1
+    SELECT {sign_cell(_bits)} AS cluster_id, {mean_vec('vec', 64)} AS centroid FROM vecs GROUP BY 1
     """)
-    cte(f"wb_near{_bits}", nearest("vecs32", f"wb{_bits}", "vec_id"))
+    cte(f"wb_near{_bits}", nearest("vecs", f"wb{_bits}", "vec_id"))
 
 
 # ---- composition --------------------------------------------------------------------------
@@ -634,7 +631,7 @@ _SQL = {
     "perplexity_mean": f"SELECT round(avg(ppl), 4) AS mean_ppl FROM ({perplexity('', 'docs', 'doc_id')})",
     "embed_triples": components("tt_vecs", "triple", "vec", DIM),
     "truncate_dim": components("vecs32", "vec_id", "vec", DIM),
-    "kmeans_refine": components("km3", "cluster_id", "centroid", DIM),
+    "kmeans_refine": components("km3", "cluster_id", "centroid", 64),
     "kmeans_assign": nearest("vecs", "label_means", "vec_id", "euclidean"),
     "cluster_counts": f"""
         SELECT id::INTEGER AS cluster_id, count(vec_id) AS n FROM range(12) r(id)
@@ -707,7 +704,7 @@ _SQL = {
           chr(123)||'subject: ', {_s}, ', relation: ', {_r_}, ', object: ', {_o}, chr(125)), ', ' ORDER BY pos), ']')
         FROM triples GROUP BY doc_id""",
     "paraphrase_prompt": f"SELECT doc_id, {_prompt} AS prompt FROM documents",
-    "reconstruct_text": "SELECT doc_id, text FROM nodp_text",
+    "reconstruct_text": "SELECT doc_id, text FROM nodp_capped",
     "reconstruct_nodp": "SELECT doc_id, k.text FROM docs LEFT JOIN kept_text k USING (doc_id)",
     "clean_generation": f"SELECT conv_id, turn, {_cleaned} AS text FROM conversations",
     "privatize_documents": "SELECT doc_id, p.text FROM docs LEFT JOIN priv_text p USING (doc_id)",

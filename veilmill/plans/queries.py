@@ -30,6 +30,7 @@ DRAW_SEED = "7"
 EPSILON = 10.0
 CELL_BITS = 6
 DIM = 32
+VECTOR_DIM = 64  # of the given vectors
 # Budgets of the noise queries, by label modulo 3.
 NOISE_EPSILONS = (1.0, 15.0, 57.5)
 # Logit range of the bigram model (natural logs of probabilities).
@@ -114,7 +115,7 @@ def text_store(spark: SparkSession, sf: str):
 def verbalized(spark: SparkSession, sf: str) -> DataFrame:
     """A release to evaluate: every document rewritten from its own triples, without noise."""
     docs = documents(spark, sf)
-    texts = generate.reconstruct_text(tr.document_triples(docs), docs)
+    texts = generate.reconstruct_text(tr.document_triples(docs))
     texts = generate.apply_empty_policy(docs, texts, "null")
     return docs.select(F.col("source").alias("dataset"), "doc_id").join(texts, "doc_id").select(
         "dataset", F.lit("nodp").alias("method"), F.lit(1.0).alias("epsilon"), "doc_id", "text"
@@ -174,10 +175,10 @@ def triple_store_upsert(spark, sf):
 
 @query
 def label_writeback(spark, sf):
-    public = vectors32(spark, sf).withColumn("key", F.md5(F.col("vec_id").cast("string")))
+    public = vectors(spark, sf).withColumn("key", F.md5(F.col("vec_id").cast("string")))
     public = cut_lineage(public.select("key", "vec_id", "vec"), "public")
     bits = {"50k": 2, "100k": 3, "200k": 4}
-    centroids = {m: cut_lineage(cl.sign_centroids(public, DIM, b)) for m, b in bits.items()}
+    centroids = {m: cut_lineage(cl.sign_centroids(public, VECTOR_DIM, b)) for m, b in bits.items()}
     labels = cl.label_triples(public, centroids).drop("vec", "vec_id")
     return store.write_labels(public, labels).drop("vec")
 
@@ -224,7 +225,7 @@ def truncate_tokens(spark, sf):
 @query
 def no_triple_policy(spark, sf):
     docs = documents(spark, sf)
-    texts = generate.reconstruct_text(tr.document_triples(docs), docs)
+    texts = generate.reconstruct_text(tr.document_triples(docs))
     parts = [
         generate.apply_empty_policy(docs, texts, p).select(F.lit(p).alias("policy"), "doc_id", "text")
         for p in generate.POLICIES
@@ -369,43 +370,43 @@ def truncate_dim(spark, sf):
 
 @query
 def kmeans_fit(spark, sf):
-    vecs = vectors32(spark, sf).withColumn("key", F.col("vec_id"))
-    return unfolded(cl.fit_clusters(vecs, 10, DIM), ["cluster_id"], "centroid")
+    vecs = vectors(spark, sf).withColumn("key", F.col("vec_id"))
+    return unfolded(cl.fit_clusters(vecs, 10, VECTOR_DIM), ["cluster_id"], "centroid")
 
 
 @query
 def kmeans_refine(spark, sf):
-    vecs = vectors32(spark, sf)
-    start = cut_lineage(cl.sign_centroids(vecs, DIM, 4), "start")
-    return unfolded(cl.refine_centroids(vecs, start, DIM, 3), ["cluster_id"], "centroid")
+    vecs = vectors(spark, sf)
+    start = cut_lineage(cl.sign_centroids(vecs, VECTOR_DIM, 4), "start")
+    return unfolded(cl.refine_centroids(vecs, start, VECTOR_DIM, 3), ["cluster_id"], "centroid")
 
 
 @query
 def kmeans_assign(spark, sf):
     vecs = vectors(spark, sf)
-    made = cl.nearest_centroid(vecs, label_centroids(vecs, 64), "euclidean")
+    made = cl.nearest_centroid(vecs, label_centroids(vecs, VECTOR_DIM), "euclidean")
     return made.select("vec_id", "cluster_id")
 
 
 @query
 def cluster_counts(spark, sf):
     vecs = vectors(spark, sf)
-    labels = cl.nearest_centroid(vecs, label_centroids(vecs, 64))
+    labels = cl.nearest_centroid(vecs, label_centroids(vecs, VECTOR_DIM))
     ids = spark.range(12).select(F.col("id").cast("int").alias("cluster_id"))
     return cl.cluster_counts(labels, ids)
 
 
 @query
 def nearest_centroid(spark, sf):
-    vecs = vectors32(spark, sf)
-    made = cl.nearest_centroid(vecs, label_centroids(vecs, DIM))
+    vecs = vectors(spark, sf)
+    made = cl.nearest_centroid(vecs, label_centroids(vecs, VECTOR_DIM))
     return made.select("vec_id", "cluster_id")
 
 
 def _vector_search(spark, sf, block_size=draw.BLOCK_SIZE):
     """All vectors as queries against all vectors as members of the label clusters."""
-    vecs = cut_lineage(vectors32(spark, sf), "vectors")
-    centroids = label_centroids(vecs, DIM)
+    vecs = cut_lineage(vectors(spark, sf), "vectors")
+    centroids = label_centroids(vecs, VECTOR_DIM)
     queries = cut_lineage(cl.nearest_centroid(vecs, centroids).drop("label"), "queries")
     blocks = privatize.store_blocks(vecs, "label", ("vec",), block_size, "vec_id")
     return queries, cut_lineage(blocks, "blocks"), centroids
@@ -434,7 +435,7 @@ def cluster_topk(spark, sf):
 @query
 def pairwise_cosine(spark, sf):
     vecs = vectors(spark, sf)
-    centroids = label_centroids(vecs, 64).withColumnRenamed("cluster_id", "label")
+    centroids = label_centroids(vecs, VECTOR_DIM).withColumnRenamed("cluster_id", "label")
     centers = vecs.select("vec_id", "label").join(centroids, "label").select(
         "vec_id", F.col("centroid").alias("vec")
     )
@@ -455,7 +456,7 @@ def budget_split(spark, sf):
 def _candidates(spark, sf):
     """Each label's members with their utility for the label's mean vector."""
     vecs = vectors(spark, sf)
-    centroids = label_centroids(vecs, 64).withColumnRenamed("cluster_id", "label")
+    centroids = label_centroids(vecs, VECTOR_DIM).withColumnRenamed("cluster_id", "label")
     u = F.greatest(vx.cosine(F.col("vec"), F.col("centroid")), F.lit(0.0))
     return vecs.join(centroids, "label").select("label", "vec_id", u.alias("utility"))
 
