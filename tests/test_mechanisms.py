@@ -110,3 +110,9 @@ def test_no_word_is_left_in_clear(spark):
         assert all(rows[k] in ("alpha", "beta") if s.is_word else rows[k] == s.token for k, s in slots.items())
     nothing = tk.replace_words(docs, near.limit(0), F.lit(9.0), 6.0, "s")
     assert {r.token for r in nothing.collect()} == {tk.HIDDEN, ",", "!", "."}
+
+
+def test_noise_asks_for_a_seed(spark):
+    vecs = spark.createDataFrame([(1, 0, [0.5])], "doc_id long, pos int, vec array<double>")
+    with pytest.raises(TypeError):
+        noise.add_noise(vecs, 10.0, "laplace", dim=1)

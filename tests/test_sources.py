@@ -107,3 +107,12 @@ def test_judge_means_without_scores(spark):
     )
     made = evaluate.judge_means(rows, metrics=("Fluency", "Clarity")).first()
     assert (made.Fluency, made.Clarity) == (0.0, 0.25)
+
+
+def test_release_keeps_names_as_text(spark, tmp_path):
+    path = str(tmp_path / "release")
+    rows = [("0042", "1", 2.0, 1, "a"), ("true", "m", 0.5, 2, None)]
+    made = spark.createDataFrame(rows, "dataset string, method string, epsilon double, doc_id long, text string")
+    release.write_release(made, path)
+    back = release.read_release(spark, path).select("dataset", "method", "epsilon", "doc_id", "text")
+    assert back.schema == made.schema and sorted(map(tuple, back.collect())) == rows

@@ -55,15 +55,24 @@ def normalize_dataset(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, path: str, spec: DatasetSpec | str, fmt: str = "parquet", schema=None
+    spark: SparkSession,
+    path: str,
+    spec: DatasetSpec | str,
+    fmt: str = "parquet",
+    schema=None,
+    multiline: bool = True,
 ) -> DataFrame:
-    """Read one private dataset from Parquet or CSV."""
+    """Read one private dataset from Parquet or CSV.
+
+    CSV fields may hold line breaks, for which a file is one task; where none do,
+    ``multiline=False`` lets Spark split large files.
+    """
     spec = DATASETS[spec] if isinstance(spec, str) else spec
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(header=True, multiLine=multiline, quote='"', escape='"')
     return normalize_dataset(reader.load(path), spec)
 
 
