@@ -1,0 +1,51 @@
+"""The near-dedup stage against the similarity of all pairs."""
+
+import random
+
+from veilmill.llm import neardup, simhash
+
+
+def words(n, rnd):
+    return [f"w{rnd.randrange(5000)}x" for _ in range(n)]
+
+
+def grams(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_no_similar_texts_stay_and_none_goes_by_chance(spark):
+    rnd = random.Random(4)
+    texts = ["", "one two", "one two three", *(f"short text {i}" for i in range(20))]
+    for i in range(60):
+        base = words(rnd.choice((60, 200, 600)), rnd)
+        texts.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), max(1, len(copy) // rnd.choice((50, 100, 200)))):
+                copy[at] = f"changed{rnd.randrange(9999)}"
+            texts.append(" ".join(copy))
+    hot = words(100, rnd)
+    texts += [" ".join([*hot[:i], "other", *hot[i + 1 :]]) for i in range(90)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, None), (5, texts[5]), (900, texts[30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in neardup.keep_first(docs).collect()]
+    assert [similarity(a, b) for i, (_, a) in enumerate(kept) for _, b in kept[:i] if similarity(a, b) >= 0.8] == []
+    near = {i: [j for j, u in enumerate(texts) if j != i and similarity(t, u) >= 0.8] for i, t in enumerate(texts)}
+    ids = {i for i, _ in kept}
+    assert all(i in ids for i in near if not near[i] and texts[i])  # nothing goes without a similar text
+    for i in near:
+        seen, more = {i}, [i]
+        while more:
+            more = [k for j in more for k in near[j] if k not in seen]
+            seen.update(more)
+        assert seen & ids
+    assert neardup.keep_first(docs).columns == docs.columns and neardup.keep_first(docs.limit(0)).count() == 0
+    # What the query's contract of four bits leaves.
+    before = [r.text for r in simhash.keep_first(docs).collect()]
+    assert any(similarity(a, b) >= 0.8 for i, a in enumerate(before) for b in before[:i])
