@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmill.llm import ann, bpe, langid, licenses, linechunks, mixing, quality, rules, simhash, surrogates
+from veilmill.llm import ann, bpe, langid, licenses, mixing, passages, quality, rules, simhash, surrogates
 from veilmill.llm.common import table
 
 SEED = "mixture-1"
@@ -41,7 +41,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_linechunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linechunks.shortened(table(spark, sf_dir, "documents"))
+    return passages.shortened(table(spark, sf_dir, "documents"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
