@@ -10,10 +10,11 @@ whole name; a first name is the same wherever its title tells the same gender.
 
 Two entities whose surrogates meet, or a surrogate that is an entity of the corpus, would merge what was
 distinct.  ``attempts`` checks all different entities of the corpus: of those that meet, all but the
-smallest draw again, until none meet.  Only entities that drew again are kept, with their number; all
+smallest draw again, until none meet; later draws are longer, so there is always a free one.  Only entities that drew again are kept, with their number; all
 others are replaced from the key alone, so the texts needn't be joined with a table of all entities.
 
-Defined results: null texts stay null, texts without entities stay as they are, entities that overlap are
+Defined results: null texts stay null, texts without entities stay as they are, a secret without letters
+or digits (masked) is no entity, entities that overlap are
 taken from the left, longer first.  Repeated rows give equal results.
 """
 
@@ -64,6 +65,7 @@ _PATTERNS = {
     "person": rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{p.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, p in _PATTERNS.items()))
+_ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _TRIGGER = re.compile(r"[@\d]|password=|token ?=")
 
 
@@ -80,7 +82,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 continue
             found.append(("person", m.start() + len(parts[0]) + 1, m.start() + len(" ".join([parts[0], *names]))))
         else:
-            found.append((next(k for k in _PATTERNS if m[k]), m.start(), m.end()))
+            kind = next(k for k in _PATTERNS if m[k])
+            # A masked value, such as password=***, has nothing to replace.
+            if kind != "secret" or any(c.isalpha() or c.isdigit() for c in m[0]):
+                found.append((kind, m.start(), m.end()))
     return found
 
 
@@ -105,6 +110,10 @@ class Stream:
         value, self.bytes = int.from_bytes(self.bytes[:8], "big"), self.bytes[8:]
         return value % n
 
+    def more(self, attempt: int, of: str = "abcdefghijklmnopqrstuvwxyz0123456789") -> str:
+        """What later attempts add, so that there is always a free form."""
+        return "".join(of[self.below(len(of))] for _ in range(attempt // 4))
+
     def like(self, shown: str) -> str:
         """Each letter and digit replaced by one of its kind."""
         hexadecimal = len(shown) >= 16 and not shown.isdigit() and all(c in "0123456789abcdef" for c in shown)
@@ -169,7 +178,7 @@ def surrogate(key: bytes, kind: str, shown: str, attempt: int = 0) -> str:
     if kind == "email":
         local, _, domain = entity.partition("@")
         of_domain = Stream(key, "domain", domain).like(domain.rpartition(".")[0])
-        made = f"{stream.like(local)}@{of_domain}.{domain.rpartition('.')[2]}"
+        made = f"{stream.like(local)}{stream.more(attempt)}@{of_domain}.{domain.rpartition('.')[2]}"
         return made.upper() if shown.isupper() else made
     if kind == "ip":
         return ".".join([str(1 + stream.below(223)), *(str(stream.below(256)) for _ in range(3))])
@@ -182,14 +191,14 @@ def surrogate(key: bytes, kind: str, shown: str, attempt: int = 0) -> str:
         elif shown.startswith("+"):
             digits = entity[0] + str(2 + stream.below(8)) + digits[2:]
         left = iter(digits)
-        return "".join(next(left) if c.isdigit() else c for c in shown)
+        return "".join(next(left) if c.isdigit() else c for c in shown) + stream.more(attempt, "0123456789") * (kind == "phone")
     if kind.endswith("name") or kind.startswith("first name"):
         return name(key, kind, shown, attempt)
-    prefix = "AKIA" if shown.startswith("AKIA") else ""
+    prefix = "AKIA" if _ACCESS_KEY.fullmatch(shown) else ""
     made = stream.like(shown[len(prefix) :])
     if prefix:
         made = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[stream.below(32)] for _ in made)
-    return prefix + made
+    return prefix + made + stream.more(attempt)
 
 
 def _gender(text: str, begin: int) -> str:
