@@ -2,8 +2,8 @@
 
 A source with share w of the target and n rows is repeated w * target_rows / n times on average.  Each
 row draws its own count: a keyed hash of its id gives a uniform number, and the count is the point where
-the distribution function of the Poisson distribution with that mean passes it.  The row is exploded by
-its count, and copies are ordered by a keyed hash of id and copy number: a global shuffle.
+the distribution function of the Poisson distribution with that mean passes it.  A mean above
+``LARGEST_MEAN`` is the sum of equal smaller ones with a draw each.  The row is exploded by its count, and copies are ordered by a keyed hash of id and copy number: a global shuffle.
 
 Every draw depends on the seed and the row alone, so a task that runs again gives the same rows.  No row
 of a large source meets another: the only exchange of texts is the shuffle that is asked for.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from veilmill.session import cut_lineage
 
 TEMPERATURE = 0.5  #: default target: shares in proportion to this power of the row counts
-LARGEST_MEAN = 500.0  #: bounds the table of the distribution function; no mean may be larger
+LARGEST_MEAN = 500.0  #: bounds the table of the distribution function; larger means are drawn in parts
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -58,19 +58,29 @@ def rates(docs: DataFrame, source: str = "source", weights: DataFrame | None = N
     rows = F.col("n_all") if target_rows is None else target_rows
     mean = F.col("weight") / F.col("all_weight") * rows / F.col("n_rows")
     # One row of totals, known to be one, is added to each source.
-    checked = F.when(mean > LARGEST_MEAN, F.raise_error(F.lit(f"a mean above {LARGEST_MEAN}"))).otherwise(mean)
-    return counts.crossJoin(F.broadcast(total)).select("source", "n_rows", checked.cast("double").alias("mean"))
+    return counts.crossJoin(F.broadcast(total)).select("source", "n_rows", mean.cast("double").alias("mean"))
 
 
 def replicate(docs: DataFrame, wanted: DataFrame, seed: str, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """Each row as often as it drew: all columns, and ``_copy`` (from 1), ``_n_copies``, ``_mean``."""
     # Written first: with the size known Spark broadcasts it while it is small, and else joins by source.
+    parts = F.greatest(F.ceil(F.col("mean") / LARGEST_MEAN), F.lit(1)).cast("int")
     table = cut_lineage(
-        wanted.select(F.col("source").alias("_source"), F.col("mean").alias("_mean"), distribution(F.col("mean")).alias("_below")), "rates"
+        wanted.select(
+            F.col("source").alias("_source"), F.col("mean").alias("_mean"), parts.alias("_parts"),
+            distribution(F.col("mean") / parts).alias("_below"),
+        ), "rates"
     )
     drawn = docs.join(table, docs[source].eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, F.col(doc_id)))
-    counted = drawn.withColumn("_n_copies", F.size(F.filter("_below", lambda x: x <= F.col("_u"))))
-    kept = counted.where("_n_copies > 0").drop("_below", "_u", "_source")
+    first = F.size(F.filter("_below", lambda x: x <= F.col("_u")))
+
+    def add(acc: Column, part: Column) -> Column:
+        u = uniform(f"{seed}/part", F.col(doc_id), part)
+        return acc + F.size(F.filter("_below", lambda x: x <= u))
+
+    others = F.aggregate(F.sequence(F.lit(2), F.col("_parts")), first, add)
+    counted = drawn.withColumn("_n_copies", F.when(F.col("_parts") > 1, others).otherwise(first))
+    kept = counted.where("_n_copies > 0").drop("_below", "_u", "_source", "_parts")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n_copies"))))
 
 
