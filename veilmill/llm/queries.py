@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilmill.llm import ann, bpe, langid, licenses, mixing, passages, quality, rules, simhash, surrogates
+from veilmill.llm import (
+    ann, bpe, divergence, langid, licenses, merkle, mixing, passages, quality, rules, simhash, surrogates,
+)
 from veilmill.llm.common import table
 
 SEED = "mixture-1"
@@ -60,11 +62,19 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), now={"text": merkle.lowered()})
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_langid, op3_quality, op4_surrogates, op5_mixing, op6_linechunks, op7_simhash, op8_bpe,
-        op9_licenses, op10_rules,
+        op9_licenses, op10_rules, op11_merkle, op13_divergence,
     )
 }
 
@@ -105,4 +115,6 @@ FROM base
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.mixture_sql(SEED),
     "op10_rules": RULES_SQL,
+    "op11_merkle": merkle.MANIFEST_SQL,
+    "op13_divergence": divergence.AUDIT_SQL,
 }
