@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veilmill.llm import (
-    ann, bpe, divergence, langid, licenses, merkle, mixing, passages, quality, rules, simhash, surrogates,
+    ann, bpe, divergence, langid, licenses, merkle, mixing, passages, quality, rules, sigtrees, simhash,
+    surrogates,
 )
 from veilmill.llm.common import table
 
@@ -66,6 +67,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), now={"text": merkle.lowered()})
 
 
+def op12_sigtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtrees.memberships(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_langid, op3_quality, op4_surrogates, op5_mixing, op6_linechunks, op7_simhash, op8_bpe,
-        op9_licenses, op10_rules, op11_merkle, op13_divergence,
+        op9_licenses, op10_rules, op11_merkle, op12_sigtrees, op13_divergence,
     )
 }
 
