@@ -21,21 +21,63 @@ Sums stay within 64 bits for up to a thousand million kept terms of a language.
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmill.session import cut_lineage
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+HELD = 1 << 19  #: counts that a task holds before it passes them on
 LEAST_DOCUMENTS = 3
 TOP = 200
+_LOWER = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _UNIT = "cast(1000000000 as decimal(10,0))"
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(TERM), F.lit(0))
+def terms(text: str) -> list[bytes]:
+    """The terms of a text in UTF-8: letters A-Z, lower-cased, and all that isn't ASCII."""
+    return text.encode("utf-8", "replace").translate(_LOWER).split()
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, source, term, n, documents`` of rows ``lang, source, n, digest, text``, added up as far as memory is given.
+
+    The rows of one text, one for each of its sources, follow each other, and are tokenized once.
+    """
+    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    documents: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for (lang, source), found in counts.items():
+            within, size = documents[lang, source], len(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(lang, size), pa.repeat(source, size), pa.array(list(found), pa.string()),
+                 pa.array(list(found.values()), pa.int64()), pa.array([within[t] for t in found], pa.int64())],
+                names=["lang", "source", "term", "n", "documents"],
+            )
+        counts.clear()
+        documents.clear()
+
+    before, words, different = None, [], set()
+    for batch in batches:
+        for lang, source, times, digest, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if (lang, digest) != before:
+                before, words = (lang, digest), terms(text)
+                different = set(words)
+            if times == 1:
+                counts[lang, source].update(words)
+                documents[lang, source].update(different)
+                continue
+            all_, within = counts[lang, source], documents[lang, source]
+            for term, n in Counter(words).items():
+                all_[term] += n * times
+                within[term] += times
+        if sum(map(len, counts.values())) > HELD:
+            yield from flushed()
+    yield from flushed()
 
 
 def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,18 +104,9 @@ def counted(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, D
     """
     texts, multiplicity = collapsed(docs)
     multiplicity = cut_lineage(multiplicity, "multiplicity")
-    # Tokenized before the join, so that a text found in many sources is tokenized once.
-    words = texts.select("lang", "digest", terms(F.col("text")).alias("words"))
-    occurrences = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("documents")))
-    documents = F.transform(
-        F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("documents"))
-    )
-    rows = words.join(multiplicity, ["lang", "digest"]).select(
-        "lang", "source", F.col("n").alias("times"), F.inline(F.concat(occurrences, documents))
-    )
-    found = rows.groupBy("lang", "source", "term").agg(
-        F.sum(F.col("times") * F.col("n")).alias("n"), F.sum(F.col("times") * F.col("documents")).alias("documents")
-    )
+    rows = texts.join(multiplicity, ["lang", "digest"]).select("lang", "source", "n", "digest", "text")
+    parts = rows.mapInArrow(_term_counts, "lang string, source string, term string, n bigint, documents bigint")
+    found = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     found = cut_lineage(found, "counts")
     kept = found.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     kept = cut_lineage(kept.where(F.col("documents") >= least).select("lang", "term", "n"), "kept")
