@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from veilmill.operators import sweep as sw
 from veilmill.operators import tokens as tk
 from veilmill.functions import text as tx
 from veilmill.operators.embed import embed_text
+from veilmill.operators.order import positions
 from veilmill.operators.triples import document_triples
 from veilmill.sources import corpus, release, store
 from veilmill.streaming import ingest
@@ -87,11 +89,39 @@ def test_nearest_centroid_in_several_blocks(spark, monkeypatch):
     assert {r.id: r.cluster_id for r in cl.nearest_centroid(vecs, cents).collect()} == whole
 
 
-def test_two_level_fit_has_k_clusters(spark, monkeypatch):
-    monkeypatch.setattr(cl, "FLAT_K", 3)
+def test_pruned_passes_equal_plain_ones(monkeypatch):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((40, 6)) * 3
+    x = centres[rng.integers(0, 40, 3000)] + rng.standard_normal((3000, 6))
+    matrix, label, upper, lower, worked = x[::75].copy(), None, None, None, []
+    before = None
+    for step in range(12):
+        bounds = cl.Bounds(matrix, before)
+        if step == 0:
+            label, upper, lower = bounds.first(x)
+        else:
+            worked.append(bounds.again(x, label, upper, lower))
+        plain = ((x[:, None] - matrix[None]) ** 2).sum(axis=2)
+        assert (label == plain.argmin(axis=1)).all()
+        before = matrix
+        matrix = np.stack([x[label == c].mean(axis=0) if (label == c).any() else matrix[c] for c in range(len(matrix))])
+    assert worked[-1] < 3000 * 40 / 4  # most distances are never worked out
+
+
+def test_fit_spreads_its_starts(spark):
     vecs = spark.range(200).select(F.col("id").alias("key"), F.array(F.sin("id"), F.cos("id")).alias("vec"))
+    for k in (1, 9, 200, 500):
+        starts = cl.spread_starts(vecs, k).collect()
+        assert sorted(r.cluster_id for r in starts) == list(range(min(k, 200)))
+        assert len({tuple(r.centroid) for r in starts}) == min(k, 200)
     made = cl.fit_clusters(vecs, 9, 2, max_iter=2).collect()
     assert sorted(r.cluster_id for r in made) == list(range(9))
+    assert cl.fit_clusters(vecs.limit(0), 9, 2, max_iter=2).count() == 0
+
+
+def test_positions_count_through_all_parts(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(6)
+    assert [r.position for r in positions(rows, ["x"]).orderBy("x").collect()] == list(range(1000))
 
 
 def test_budgets(spark):

@@ -23,6 +23,15 @@ def hash_int(text: Column, hex_digits: int = 13) -> Column:
     return F.conv(F.substring(F.md5(text), 1, hex_digits), 16, 10).cast("bigint")
 
 
+def hash_pair(text: Column) -> tuple[Column, Column]:
+    """The two halves of md5 as BIGINTs."""
+    digest = F.md5(text)
+    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)]
+    return (
+        F.shiftleft(words[0], 32).bitwiseOR(words[1]), F.shiftleft(words[2], 32).bitwiseOR(words[3])
+    )
+
+
 def uniform(seed, *keys: Column) -> Column:
     """A uniform draw strictly between 0 and 1."""
     return (hash_int(key_text(seed, *keys)) + F.lit(0.5)) / F.lit(TWO_52)

@@ -1,203 +1,248 @@
 """Scoring the members of a group and drawing one of them with the exponential mechanism.
 
 A draw for budget e and utility u in [0, 1] picks a member with probability proportional to
-``exp(e * u / (2 * sensitivity))``.  Members are packed into bounded blocks by
-``member_blocks``; a query meets one row per block, so query-member pairs never exist as
-rows.  Two exact ways share that layout:
-
-* score every member of the block inside the row (Gumbel noise, largest wins);
-* for a group of many blocks and a moderate budget, rejection: propose a uniformly chosen
-  member, accept with probability ``exp(e * (u - 1) / (2 * sensitivity))``.  The expected
-  number of proposals is at most ``exp(e / (2 * sensitivity))`` however large the group is.
+``exp(e * u / (2 * sensitivity))``: every member gets the score ``e * u / (2 * sensitivity)`` plus
+Gumbel noise, and the largest score wins.  A maximum of maxima is the same maximum, so members and
+queries of a group are split by hash into bounded parts, each pair of parts is one NumPy product in
+one task, and a query's winners of all blocks meet in an aggregate.  Which member wins depends on
+the seed, the run and the two keys alone, not on how a group is cut.
+
+A query may carry several runs, each with its own budget: utilities are worked out once, noise is
+drawn for each run.  The noise of a pair is counter-based: 128 bits of md5 of seed, run and query
+key, and 64 of md5 of the member's key, mixed in whole arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilmill.functions.rng import gumbel, hash_int, key_text, uniform
+from veilmill.functions.rng import gumbel, hash_pair, key_text
 from veilmill.session import cut_lineage
 
-BLOCK_SIZE = 256
-Utility = Callable[[Column], Column]
+BLOCK_SIZE = 2048  #: members that a task compares at once
+QUERY_PART = 4096  #: queries, likewise
+CELLS = 1 << 20  #: scores held at once
+# Multipliers of the published 64-bit finalizer of SplitMix.
+MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+#: Utilities of members (columns) for queries (rows), or one row for all queries alike.
+Utility = Callable[[pa.Table, pa.Table], np.ndarray]
+#: Log weights from utilities, ``e / (2 * sensitivity)`` as a column, and the members.
+Shape = Callable[[np.ndarray, np.ndarray, pa.Table], np.ndarray]
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    rows = len(column)
+    flat = pc.list_flatten(column).to_numpy()
+    return flat.astype(np.float64).reshape(rows, -1) if rows else np.zeros((0, 0))
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    return vectors / np.where(lengths == 0, 1.0, lengths)[:, None]
+
+
+def linear(utilities: np.ndarray, weights: np.ndarray, members: pa.Table) -> np.ndarray:
+    return weights * utilities
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[0])
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[1])
+    return z ^ (z >> np.uint64(31))
+
+
+def pair_gumbel(high: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Noise of queries (rows, by two 64-bit keys) and members (columns, by one)."""
+    z = _mixed(_mixed(high.view(np.uint64)[:, None] + mark.view(np.uint64)) ^ low.view(np.uint64)[:, None])
+    u = ((z >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
+    return -np.log(-np.log(u))
 
 
 def member_blocks(
     members: DataFrame, on: list[str], key: str, attrs: list[str], block_size: int = BLOCK_SIZE
 ) -> DataFrame:
-    """``(*on, block, n_blocks, members)`` with ``members`` an array of ``(key, *attrs)``.
-
-    A group is split by a hash of the key into blocks of about ``block_size`` members, which
-    bounds every array and spreads a hot group over many tasks.
-    """
+    """``(*on, block, n_blocks, key, mark, *attrs)``: groups cut by a hash of the key into blocks
+    of about ``block_size`` members, so that a hot group is many bounded ones."""
     sizes = members.groupBy(*on).agg(
         F.ceil(F.count("*") / F.lit(block_size)).cast("bigint").alias("n_blocks")
     )
-    placed = members.join(sizes, on).withColumn(
-        "block", hash_int(key_text("block", F.col(key)), 8) % F.col("n_blocks")
-    )
-    item = F.struct(F.col(key).alias("key"), *attrs)
-    return placed.groupBy(*on, "block", "n_blocks").agg(
-        F.array_sort(F.collect_list(item)).alias("members")
+    mark = hash_pair(F.col(key).cast("string"))[0]
+    return members.join(sizes, on).select(
+        *on, F.pmod(F.shiftright(mark, 8), F.col("n_blocks")).alias("block"), "n_blocks",
+        F.col(key).alias("key"), mark.alias("mark"), *attrs,
     )
 
 
-def block_stats(blocks: DataFrame, on: list[str]) -> DataFrame:
-    """Per group: members ``n``, the hash modulus ``n_blocks``, the largest block ``cap``."""
-    size = F.size("members").cast("bigint")
-    return blocks.groupBy(*on).agg(
-        F.sum(size).alias("n"), F.max("n_blocks").alias("n_blocks"), F.max(size).alias("cap")
-    )
+def _columns(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _meet_blocks(queries: DataFrame, blocks: DataFrame, on: list[str]) -> DataFrame:
-    """One row per query and block of its group; ``queries`` carries ``n_blocks``."""
-    spread = queries.withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))
+def _met(
+    queries: DataFrame, blocks: DataFrame, on: list[str], query_key: list[str],
+    search: Callable[[pa.Table, pa.Table], Iterator[pa.Table]], schema: str,
+) -> DataFrame:
+    """``search`` over each pair of a part of the queries and a block of the members of a group."""
+    plan = (
+        queries.groupBy(*on).agg(F.ceil(F.count("*") / F.lit(QUERY_PART)).cast("bigint").alias("n_parts"))
+        .join(blocks.groupBy(*on).agg(F.max("n_blocks").alias("n_blocks")), on)
     )
-    return spread.join(blocks.drop("n_blocks"), [*on, "block"])
+    plan = cut_lineage(plan, "parts")
 
+    def several(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
 
-def draw_one(
-    queries: DataFrame,
-    blocks: DataFrame,
-    on: list[str],
-    query_key: list[str],
-    utility: Utility,
-    epsilon: str,
-    seed,
-    sensitivity: float = 1.0,
-) -> DataFrame:
-    """``(*query_key, chosen)``: one member struct per query.
+    asked = queries.join(plan, on).withColumn("part", F.pmod(F.xxhash64(*query_key), F.col("n_parts")))
+    asked = asked.withColumn("block", several("n_blocks")).drop("n_parts", "n_blocks")
+    asking = blocks.drop("n_blocks").join(plan.drop("n_blocks"), on).withColumn("part", several("n_parts")).drop("n_parts")
+    asking = asking.toDF(*asking.columns)  # fresh identities, where queries and members are one table
+    keys = [*on, "block", "part"]
 
-    ``utility`` turns a member struct into a column in [0, 1] and may use query columns.
-    ``epsilon`` names the budget column of ``queries``.  A query whose group has no members
-    yields no row.
-    """
-    stats = cut_lineage(block_stats(blocks, on), "stats")
-    weight = F.col(epsilon) / F.lit(2.0 * sensitivity)
-    keys = [F.col(c) for c in query_key]
+    def both(asked_of: pa.Table, members: pa.Table) -> pa.Table:
+        if not asked_of.num_rows or not members.num_rows:
+            return empty
+        members = members.take(pc.sort_indices(members["key"]))
+        made = list(search(asked_of, members))
+        return pa.concat_tables(made) if made else empty
 
-    def winner(items: Column) -> Column:
-        def noisy(m: Column) -> Column:
-            score = weight * utility(m) + gumbel(seed, *keys, m["key"])
-            return F.struct(score.alias("score"), m.alias("chosen"))
+    empty = _empty(schema)
+    return asked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(both, schema)
 
-        return F.array_max(F.transform(items, noisy))
 
-    placed = queries.join(stats, on)
-    if stats.filter("n_blocks > 1").isEmpty():
-        met = placed.withColumn("block", F.lit(0).cast("bigint")).join(
-            blocks.drop("n_blocks"), [*on, "block"]
-        )
-        return met.select(*query_key, winner(F.col("members"))["chosen"].alias("chosen"))
-
-    placed = cut_lineage(placed, "queries")
-    sampled = (F.col("n_blocks") > 1) & (F.exp(weight) * 4 < F.col("n"))
-    best = (
-        _meet_blocks(placed.filter(~sampled), blocks, on)
-        .select(*query_key, winner(F.col("members")).alias("best"))
-        .groupBy(*query_key)
-        .agg(F.max("best").alias("best"))
-        .select(*query_key, F.col("best.chosen").alias("chosen"))
-    )
-    accepted = _draw_by_rejection(
-        placed.filter(sampled), blocks, on, query_key, utility, weight, seed
-    )
-    return reduce(DataFrame.unionByName, accepted, best)
+def _empty(schema: str) -> pa.Table:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
 
 
-def _draw_by_rejection(
+def _spread(utilities: np.ndarray, rows: int) -> np.ndarray:
+    return np.broadcast_to(np.atleast_2d(utilities), (rows, utilities.shape[-1]))
+
+
+def draw_one(
     queries: DataFrame,
     blocks: DataFrame,
     on: list[str],
     query_key: list[str],
     utility: Utility,
-    weight: Column,
+    epsilon: str,
     seed,
-) -> list[DataFrame]:
-    """Rounds of proposals until every query has accepted one.
+    sensitivity: float = 1.0,
+    keep: tuple[str, ...] = (),
+    shape: Shape = linear,
+) -> DataFrame:
+    """``(*query_key, run, score, chosen)``: the winner of each query and run, a struct of ``key`` and ``keep``.
 
-    Proposals are numbered, and the first accepted number counts, so the outcome does not
-    depend on how many are tried per round.  A proposal names a slot of the block grid;
-    blocks shorter than the longest leave slots empty, which simply rejects.
+    ``epsilon`` names the column of ``queries`` with the budget, or with an array of
+    ``(run, eps)``; a single budget is the run ''.  A query whose group has no members has no row.
     """
-    keys = [F.col(c) for c in query_key]
-    rounds: list[DataFrame] = []
-    start, budget = F.lit(0.0), F.ceil(F.exp(weight) * 4)
-    slots = (F.col("n_blocks") * F.col("cap")).cast("double")
-    while not queries.isEmpty():
-        attempt = F.col("attempt")
-        slot = F.floor(uniform(f"{seed}.slot", *keys, attempt) * slots).cast("bigint")
-        proposals = (
-            queries.withColumn(
-                "attempt",
-                F.explode(F.sequence(start.cast("bigint"), (start + budget - 1).cast("bigint"))),
-            )
-            .withColumn("block", F.floor(slot / F.col("cap")).cast("bigint"))
-            .withColumn("slot", (slot % F.col("cap")).cast("int"))
-        )
-        met = proposals.join(blocks.drop("n_blocks"), [*on, "block"]).withColumn(
-            "member", F.get("members", F.col("slot"))
-        )
-        accept = uniform(f"{seed}.accept", *keys, attempt) < F.exp(
-            weight * (utility(F.col("member")) - 1)
-        )
-        chosen = cut_lineage(
-            met.filter(F.col("member").isNotNull() & accept)
-            .groupBy(*query_key)
-            .agg(F.min_by("member", "attempt").alias("chosen")),
-            "drawn",
+    if queries.schema[epsilon].dataType.simpleString().startswith("array"):
+        runs = F.col(epsilon)
+    else:
+        runs = F.array(F.struct(F.lit("").alias("run"), F.col(epsilon).cast("double").alias("eps")))
+
+    def keyed(r: Column) -> Column:
+        pair = hash_pair(key_text(seed, r["run"], *[F.col(c) for c in query_key]))
+        return F.struct(
+            r["run"].alias("run"), (r["eps"] / F.lit(2.0 * sensitivity)).alias("weight"), pair[0].alias("high"), pair[1].alias("low")
         )
-        rounds.append(chosen)
-        queries = cut_lineage(queries.join(chosen, query_key, "left_anti"), "undrawn")
-        start, budget = start + budget, budget * 4
-    return rounds
+
+    queries = queries.withColumn("_runs", F.transform(runs, keyed))
+    names = ["key", *keep]
+
+    def search(asked: pa.Table, members: pa.Table) -> Iterator[pa.Table]:
+        flat, of = pc.list_flatten(asked["_runs"]), pc.list_parent_indices(asked["_runs"]).to_numpy()
+        run, weight, high, low = (pc.struct_field(flat, i) for i in range(4))
+        weight, high, low = (x.to_numpy() for x in (weight, high, low))
+        mark = members["mark"].to_numpy()
+        rows = max(1, CELLS // members.num_rows)
+        for start in range(0, len(of), rows):
+            some = of[start : start + rows]
+            first, last = int(some[0]), int(some[-1]) + 1
+            known = _spread(utility(asked.slice(first, last - first), members), last - first)
+            w = weight[start : start + rows]
+            scores = shape(known[some - first], w[:, None], members)
+            scores = scores + pair_gumbel(high[start : start + rows], low[start : start + rows], mark)
+            at = scores.argmax(axis=1)
+            made = {c: asked[c].take(pa.array(some)) for c in query_key} | {"run": run.slice(start, len(some))}
+            made["score"] = pa.array(scores[np.arange(len(at)), at])
+            yield pa.table(made | {c: members[c].take(pa.array(at)) for c in names})
+
+    schema = f"{_columns(queries, query_key)}, run string, score double, {_columns(blocks, names)}"
+    best = _met(queries, blocks, on, query_key, search, schema)
+    top = F.max(F.struct("score", F.struct(*names).alias("chosen"))).alias("best")
+    return best.groupBy(*query_key, "run").agg(top).select(*query_key, "run", "best.score", "best.chosen")
 
 
 def topk_in_group(
-    queries: DataFrame,
-    blocks: DataFrame,
-    on: list[str],
-    query_key: list[str],
-    utility: Utility,
-    k: int,
+    queries: DataFrame, blocks: DataFrame, on: list[str], query_key: list[str], utility: Utility, k: int
 ) -> DataFrame:
-    """``(*query_key, rank, member, utility)``: the ``k`` best members of each query's group.
+    """``(*query_key, rank, key, utility)``: the ``k`` best members of each query's group, ties to
+    the smaller key.  Every block contributes at most ``k`` rows, of which a rank keeps ``k``."""
+
+    def search(asked: pa.Table, members: pa.Table) -> Iterator[pa.Table]:
+        rows = max(1, CELLS // members.num_rows)
+        for start in range(0, asked.num_rows, rows):
+            some = asked.slice(start, rows)
+            known = _spread(utility(some, members), some.num_rows)
+            # Members are sorted by key, so a stable sort leaves ties in its order.
+            at = np.argsort(-known, axis=1, kind="stable")[:, :k]
+            of = pa.array(np.repeat(np.arange(some.num_rows), at.shape[1]))
+            made = {c: some[c].take(of) for c in query_key} | {"key": members["key"].take(pa.array(at.ravel()))}
+            yield pa.table(made | {"utility": pa.array(np.take_along_axis(known, at, axis=1).ravel())})
+
+    schema = f"{_columns(queries, query_key)}, {_columns(blocks, ['key'])}, utility double"
+    rows = _met(queries, blocks, on, query_key, search, schema)
+    order = Window.partitionBy(*query_key).orderBy(F.desc("utility"), "key")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+        *query_key, "rank", "key", "utility"
+    )
 
-    Every block contributes at most ``k`` rows, of which a rank over the query keeps ``k``.
-    """
 
-    def best(items: Column) -> Column:
-        scored = F.transform(items, lambda m: F.struct((-utility(m)).alias("cost"), m.alias("m")))
-        return F.slice(F.array_sort(scored), 1, k)
+def pairs_above(
+    queries: DataFrame, blocks: DataFrame, on: list[str], query_key: list[str], utility: Utility, least: float
+) -> DataFrame:
+    """``(*query_key, key, utility)``: the members of each query's group above a utility."""
 
-    met = _meet_blocks(queries.join(block_stats(blocks, on), on), blocks, on)
-    rows = met.select(*query_key, F.explode(best(F.col("members"))).alias("b"))
-    order = Window.partitionBy(*query_key).orderBy("b.cost", "b.m.key")
-    return (
-        rows.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(*query_key, "rank", F.col("b.m").alias("member"), (-F.col("b.cost")).alias("utility"))
-    )
+    def search(asked: pa.Table, members: pa.Table) -> Iterator[pa.Table]:
+        rows = max(1, CELLS // members.num_rows)
+        for start in range(0, asked.num_rows, rows):
+            some = asked.slice(start, rows)
+            known = _spread(utility(some, members), some.num_rows)
+            of, at = np.nonzero(known > least)
+            made = {c: some[c].take(pa.array(of)) for c in query_key} | {"key": members["key"].take(pa.array(at))}
+            yield pa.table(made | {"utility": pa.array(known[of, at])})
+
+    schema = f"{_columns(queries, query_key)}, {_columns(blocks, ['key'])}, utility double"
+    return _met(queries, blocks, on, query_key, search, schema)
 
 
 def candidate_stats(
     queries: DataFrame, blocks: DataFrame, on: list[str], query_key: list[str], utility: Utility
 ) -> DataFrame:
     """``(*query_key, n_candidates, max_utility, mean_utility)`` over each query's group."""
-    met = _meet_blocks(queries.join(block_stats(blocks, on), on), blocks, on)
-    scored = met.select(*query_key, F.transform("members", utility).alias("u"))
-    total = F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x)
-    return scored.groupBy(*query_key).agg(
-        F.sum(F.size("u").cast("bigint")).alias("n_candidates"),
-        F.max(F.array_max("u")).alias("max_utility"),
-        (F.sum(total) / F.sum(F.size("u"))).alias("mean_utility"),
+
+    def search(asked: pa.Table, members: pa.Table) -> Iterator[pa.Table]:
+        rows = max(1, CELLS // members.num_rows)
+        for start in range(0, asked.num_rows, rows):
+            some = asked.slice(start, rows)
+            known = _spread(utility(some, members), some.num_rows)
+            made = {c: some[c] for c in query_key} | {"n": pa.array(np.full(some.num_rows, members.num_rows, np.int64))}
+            yield pa.table(made | {"most": pa.array(known.max(axis=1)), "total": pa.array(known.sum(axis=1))})
+
+    schema = f"{_columns(queries, query_key)}, n bigint, most double, total double"
+    return _met(queries, blocks, on, query_key, search, schema).groupBy(*query_key).agg(
+        F.sum("n").alias("n_candidates"), F.max("most").alias("max_utility"),
+        (F.sum("total") / F.sum("n")).alias("mean_utility"),
     )
 
 

@@ -21,13 +21,16 @@ DEFAULT_EXAMPLES = (
 )
 
 
-def ordered_triples(triples: DataFrame) -> DataFrame:
-    """``(doc_id, items)``: the parsed triples of a document in order."""
-    parsed = triples.select("doc_id", "pos", tx.parse_triple(F.col("triple")).alias("t"))
+IDS = ("doc_id",)
+
+
+def ordered_triples(triples: DataFrame, ids: tuple[str, ...] = IDS) -> DataFrame:
+    """``(*ids, items)``: the parsed triples of a document, or of a run of one, in order."""
+    parsed = triples.select(*ids, "pos", tx.parse_triple(F.col("triple")).alias("t"))
     return (
-        parsed.groupBy("doc_id")
+        parsed.groupBy(*ids)
         .agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("items"))
-        .select("doc_id", F.transform("items", lambda i: i["t"]).alias("items"))
+        .select(*ids, F.transform("items", lambda i: i["t"]).alias("items"))
     )
 
 
@@ -46,8 +49,9 @@ def assemble_prompts(
     triples: DataFrame,
     system: str = DEFAULT_SYSTEM,
     examples: tuple[tuple[str, str], ...] = DEFAULT_EXAMPLES,
+    ids: tuple[str, ...] = IDS,
 ) -> DataFrame:
-    """``(doc_id, messages)``: system turn, worked examples, then the document's triples."""
+    """``(*ids, messages)``: system turn, worked examples, then the document's triples."""
 
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
@@ -56,7 +60,7 @@ def assemble_prompts(
     for question, answer in examples:
         turns += [message("user", F.lit(question)), message("assistant", F.lit(answer))]
     turns.append(message("user", triple_list_text(F.col("items"))))
-    return ordered_triples(triples).select("doc_id", F.array(*turns).alias("messages"))
+    return ordered_triples(triples, ids).select(*ids, F.array(*turns).alias("messages"))
 
 
 def verbalize(items: Column) -> Column:
@@ -76,23 +80,25 @@ def reconstruct_text(
     generator: Generator | None = None,
     system: str = DEFAULT_SYSTEM,
     examples: tuple[tuple[str, str], ...] = DEFAULT_EXAMPLES,
+    ids: tuple[str, ...] = IDS,
 ) -> DataFrame:
-    """``(doc_id, text)`` from ``(doc_id, pos, triple)``.
+    """``(*ids, text)`` from ``(*ids, pos, triple)``; ``ids`` begin with ``doc_id``.
 
     With ``originals`` a text has at most as many tokens as the original document.  A generator
     gets message lists in Arrow batches, and its output is cleaned.
     """
     if generator is None:
-        texts = ordered_triples(triples).select("doc_id", verbalize(F.col("items")).alias("text"))
+        texts = ordered_triples(triples, ids).select(*ids, verbalize(F.col("items")).alias("text"))
     else:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 prompts = [[dict(m) for m in messages] for messages in batch["messages"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "raw": generator(prompts)})
+                yield batch[list(ids)].assign(raw=generator(prompts))
 
-        raw = assemble_prompts(triples, system, examples).mapInPandas(run, "doc_id bigint, raw string")
-        texts = raw.select("doc_id", tx.clean_generation(F.col("raw")).alias("text"))
+        kinds = ", ".join(f"{c} {triples.schema[c].dataType.simpleString()}" for c in ids)
+        raw = assemble_prompts(triples, system, examples, ids).mapInPandas(run, f"{kinds}, raw string")
+        texts = raw.select(*ids, tx.clean_generation(F.col("raw")).alias("text"))
     if originals is None:
         return texts
     caps = originals.select("doc_id", F.size(tx.tokens(F.col("text"))).alias("_cap"))
@@ -100,24 +106,26 @@ def reconstruct_text(
         F.size(tx.tokens(F.col("text"))) > F.col("_cap"),
         tx.detokenize(F.slice(tx.tokens(F.col("text")), 1, F.greatest("_cap", F.lit(0)))),
     ).otherwise(F.col("text"))
-    return texts.join(caps, "doc_id").select("doc_id", capped.alias("text"))
+    return texts.join(caps, "doc_id").select(*ids, capped.alias("text"))
 
 
 POLICIES = ("null", "passthrough", "drop")
 
 
-def apply_empty_policy(docs: DataFrame, rewritten: DataFrame, on_empty: str = "null") -> DataFrame:
-    """``(doc_id, text)`` for every document; those without a rewrite follow the policy.
+def apply_empty_policy(
+    docs: DataFrame, rewritten: DataFrame, on_empty: str = "null", ids: tuple[str, ...] = IDS
+) -> DataFrame:
+    """``(*ids, text)`` for every row of ``docs``; those without a rewrite follow the policy.
 
     ``passthrough`` releases the original text unprotected.
     """
     if on_empty not in POLICIES:
         raise ValueError(f"on_empty must be one of {', '.join(POLICIES)}, not {on_empty!r}")
-    made = rewritten.select("doc_id", F.col("text").alias("_made"))
+    made = rewritten.select(*ids, F.col("text").alias("_made"))
     if on_empty == "drop":
-        return docs.select("doc_id").join(made, "doc_id").withColumnRenamed("_made", "text")
+        return docs.select(*ids).join(made, list(ids)).withColumnRenamed("_made", "text")
     if on_empty == "null":
-        joined = docs.select("doc_id").join(made, "doc_id", "left")
+        joined = docs.select(*ids).join(made, list(ids), "left")
         return joined.withColumnRenamed("_made", "text")
-    joined = docs.select("doc_id", "text").join(made.withColumn("_has", F.lit(True)), "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("_has"), F.col("_made")).otherwise(F.col("text")).alias("text"))
+    joined = docs.select(*ids, "text").join(made.withColumn("_has", F.lit(True)), list(ids), "left")
+    return joined.select(*ids, F.when(F.col("_has"), F.col("_made")).otherwise(F.col("text")).alias("text"))

@@ -75,7 +75,8 @@ def extract_triples(docs: DataFrame, extractor: Extractor | None = None) -> Data
                     columns=columns,
                 )
 
-        schema = "doc_id bigint, pos int, subject string, relation string, object string"
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        schema = f"doc_id {kind}, pos int, subject string, relation string, object string"
         rows = docs.select("doc_id", "text").mapInPandas(run, schema)
     return rows.withColumn(
         "triple", tx.render_triple(F.col("subject"), F.col("relation"), F.col("object"))

@@ -5,20 +5,20 @@ from __future__ import annotations
 import re
 
 from veilmill.functions import text as tx
-from veilmill.operators import noise
+from veilmill.operators import noise, wordvecs
+from veilmill.operators.draw import MIX
 from veilmill.operators.evaluate import METRICS
 from veilmill.operators.generate import DEFAULT_EXAMPLES, DEFAULT_SYSTEM
 from veilmill.operators.lsh import BANDS, NUM_PERM, PRIME, SEED
+from veilmill.operators.privatize import PLACES
 from veilmill.operators.sweep import FACTORS
 from veilmill.operators.tokens import MAX_LOGIT, MIN_LOGIT
 from veilmill.operators.triples import ANCHORS
 from veilmill.plans.queries import (
-    CELL_BITS, DIM, DRAW_SEED, EPSILON, GAMMA, LM_HIGH, LM_LOW, NOISE_EPSILONS,
+    CELL_BITS, DIM, DRAW_SEED, EPSILON, GAMMA, KMEANS, LM_HIGH, LM_LOW, NOISE_EPSILONS, SIZES,
 )
 
 STAR_ROUNDS = 8
-DRAW_ROUNDS = 3
-BLOCK = 256
 SPAN = 2**31
 
 
@@ -141,53 +141,59 @@ def extraction(prefix: str, source: str) -> None:
 extraction("", "docs")
 extraction("item_", "items")
 
-cte("grams", """
-SELECT DISTINCT doc_id, pos, substr(triple, i, 3) AS shingle
-FROM triples, unnest(range(1, length(triple) - 1)) r(i) WHERE length(triple) >= 3
-""")
 cte("perms", f"""
 SELECT i::INTEGER AS i,
        ('0x'||substr(md5('{SEED}|a|'||i),1,8))::BIGINT % {PRIME - 1} + 1 AS a,
        ('0x'||substr(md5('{SEED}|b|'||i),1,8))::BIGINT % {PRIME} AS b
 FROM range({NUM_PERM}) r(i)
 """)
-cte("mins", f"""
-SELECT doc_id, pos, i, min((a * h + b) % {PRIME}) AS m
-FROM (SELECT doc_id, pos, ('0x'||substr(md5(shingle),1,8))::BIGINT % {PRIME} AS h FROM grams) g, perms
-GROUP BY doc_id, pos, i
-""")
-cte("bands", f"""
-SELECT doc_id, pos, i // {NUM_PERM // BANDS} AS band, list(m ORDER BY i) AS key FROM mins GROUP BY ALL
-""")
-cte("bucket_sets", """
-SELECT doc_id, min(band) AS band, members FROM (
-  SELECT doc_id, band, key, list(pos ORDER BY pos) AS members
-  FROM bands GROUP BY doc_id, band, key HAVING count(*) > 1)
-GROUP BY doc_id, members
-""")
-cte("lsh_pairs", """
-SELECT DISTINCT a.doc_id, a.pos AS a, b.pos AS b
-FROM bands a JOIN bands b ON a.doc_id = b.doc_id AND a.band = b.band AND a.key = b.key AND a.pos <> b.pos
-""")
-cte("degrees", "SELECT doc_id, a AS pos, count(*) AS degree FROM lsh_pairs GROUP BY doc_id, a")
-cte("live0", "SELECT doc_id, pos, degree * 2147483648 + (2147483647 - pos) AS rank FROM degrees")
-for _r in range(STAR_ROUNDS):
-    cte(f"lead{_r}", f"""
-    SELECT doc_id, pos FROM live{_r} l WHERE NOT EXISTS (
-      SELECT 1 FROM lsh_pairs p JOIN live{_r} o ON o.doc_id = p.doc_id AND o.pos = p.b
-      WHERE p.doc_id = l.doc_id AND p.a = l.pos AND o.rank > l.rank)
+
+def near_duplicates(p: str) -> None:
+    """Index, degrees and star clusters of the triples ``<p>triples``."""
+    cte(f"{p}grams", f"""
+    SELECT DISTINCT doc_id, pos, substr(triple, i, 3) AS shingle
+    FROM {p}triples, unnest(range(1, length(triple) - 1)) r(i) WHERE length(triple) >= 3
     """)
-    cte(f"live{_r + 1}", f"""
-    SELECT * FROM live{_r} l
-    WHERE NOT EXISTS (SELECT 1 FROM lead{_r} s WHERE s.doc_id = l.doc_id AND s.pos = l.pos)
-      AND NOT EXISTS (SELECT 1 FROM lead{_r} s JOIN lsh_pairs p ON p.doc_id = s.doc_id AND p.a = s.pos
-                      WHERE p.doc_id = l.doc_id AND p.b = l.pos)
+    cte(f"{p}mins", f"""
+    SELECT doc_id, pos, i, min((a * h + b) % {PRIME}) AS m
+    FROM (SELECT doc_id, pos, ('0x'||substr(md5(shingle),1,8))::BIGINT % {PRIME} AS h FROM {p}grams) g, perms
+    GROUP BY doc_id, pos, i
     """)
-cte("seeds", " UNION ALL ".join(f"SELECT doc_id, pos FROM lead{r}" for r in range(STAR_ROUNDS)))
-cte("clusters", """
-SELECT s.doc_id, s.pos AS seed, p.b AS member
-FROM seeds s JOIN lsh_pairs p ON p.doc_id = s.doc_id AND p.a = s.pos
-""")
+    cte(f"{p}bands", f"""
+    SELECT doc_id, pos, i // {NUM_PERM // BANDS} AS band, list(m ORDER BY i) AS key FROM {p}mins GROUP BY ALL
+    """)
+    cte(f"{p}bucket_sets", f"""
+    SELECT doc_id, min(band) AS band, members FROM (
+      SELECT doc_id, band, key, list(pos ORDER BY pos) AS members
+      FROM {p}bands GROUP BY doc_id, band, key HAVING count(*) > 1)
+    GROUP BY doc_id, members
+    """)
+    cte(f"{p}lsh_pairs", f"""
+    SELECT DISTINCT a.doc_id, a.pos AS a, b.pos AS b
+    FROM {p}bands a JOIN {p}bands b ON a.doc_id = b.doc_id AND a.band = b.band AND a.key = b.key AND a.pos <> b.pos
+    """)
+    cte(f"{p}degrees", f"SELECT doc_id, a AS pos, count(*) AS degree FROM {p}lsh_pairs GROUP BY doc_id, a")
+    cte(f"{p}live0", f"SELECT doc_id, pos, degree * 2147483648 + (2147483647 - pos) AS rank FROM {p}degrees")
+    for _r in range(STAR_ROUNDS):
+        cte(f"{p}lead{_r}", f"""
+        SELECT doc_id, pos FROM {p}live{_r} l WHERE NOT EXISTS (
+          SELECT 1 FROM {p}lsh_pairs p JOIN {p}live{_r} o ON o.doc_id = p.doc_id AND o.pos = p.b
+          WHERE p.doc_id = l.doc_id AND p.a = l.pos AND o.rank > l.rank)
+        """)
+        cte(f"{p}live{_r + 1}", f"""
+        SELECT * FROM {p}live{_r} l
+        WHERE NOT EXISTS (SELECT 1 FROM {p}lead{_r} s WHERE s.doc_id = l.doc_id AND s.pos = l.pos)
+          AND NOT EXISTS (SELECT 1 FROM {p}lead{_r} s JOIN {p}lsh_pairs p ON p.doc_id = s.doc_id AND p.a = s.pos
+                          WHERE p.doc_id = l.doc_id AND p.b = l.pos)
+        """)
+    cte(f"{p}seeds", " UNION ALL ".join(f"SELECT doc_id, pos FROM {p}lead{r}" for r in range(STAR_ROUNDS)))
+    cte(f"{p}clusters", f"""
+    SELECT s.doc_id, s.pos AS seed, p.b AS member
+    FROM {p}seeds s JOIN {p}lsh_pairs p ON p.doc_id = s.doc_id AND p.a = s.pos
+    """)
+
+
+near_duplicates("")
 
 
 def language_model(prefix: str, source: str, k: float = 0.1) -> None:
@@ -224,19 +230,31 @@ def perplexity(prefix: str, source: str, ids: str) -> str:
 
 language_model("", "docs")
 
-cte("covered", """
-SELECT DISTINCT t.doc_id, t.pos, replace(t.triple, ' | ', ' ') AS text
-FROM triples t JOIN clusters c ON c.doc_id = t.doc_id AND c.member = t.pos
-""")
-cte("covered_ppl", perplexity("", "covered", "doc_id, pos"))
-cte("best", """
-SELECT c.doc_id, c.seed, arg_min(c.member, (round(p.ppl, 6), c.member)) AS pos
-FROM clusters c JOIN covered_ppl p ON p.doc_id = c.doc_id AND p.pos = c.member
-GROUP BY c.doc_id, c.seed
-""")
-cte("survivors", """
-SELECT doc_id, pos, triple FROM triples WHERE (doc_id, pos) IN (SELECT doc_id, pos FROM best)
-""")
+def choice(p: str, source: str, lm: str) -> None:
+    """The triples ``<p>survivors``: the best-reading of each cluster of ``<source>triples`` by a model."""
+    cte(f"{p}covered", f"""
+    SELECT DISTINCT t.doc_id, t.pos, replace(t.triple, ' | ', ' ') AS text
+    FROM {source}triples t JOIN {source}clusters c ON c.doc_id = t.doc_id AND c.member = t.pos
+    """)
+    cte(f"{p}covered_ppl", perplexity(lm, f"{p}covered", "doc_id, pos"))
+    cte(f"{p}best", f"""
+    SELECT c.doc_id, c.seed, arg_min(c.member, (round(q.ppl, 6), c.member)) AS pos
+    FROM {source}clusters c JOIN {p}covered_ppl q ON q.doc_id = c.doc_id AND q.pos = c.member
+    GROUP BY c.doc_id, c.seed
+    """)
+    cte(f"{p}survivors", f"""
+    SELECT doc_id, pos, triple FROM {source}triples WHERE (doc_id, pos) IN (SELECT doc_id, pos FROM {p}best)
+    """)
+
+
+choice("", "", "")
+
+# The public side of private rewriting: conversation turns, and a model of them for both sides.
+extraction("pub_", "turns")
+near_duplicates("pub_")
+language_model("pub_", "turns")
+choice("pub_", "pub_", "pub_")
+choice("own_", "", "pub_")
 
 
 def hash_vectors(name: str, source: str, ids: str, kind: str = "char3", text: str = "text") -> None:
@@ -289,93 +307,68 @@ def sign_cell(bits: int, vec: str = "vec") -> str:
 cte("vec_cells", nearest("vecs", "label_means", "vec_id"))
 
 
+MASK = 2**64 - 1
+
+
+def half(text: str, which: int) -> str:
+    """One half of md5 as an unsigned 64-bit number, held in 128 bits."""
+    return f"('0x'||substr(md5({text}),{1 + 16 * which},16))::UBIGINT::UHUGEINT"
+
+
+def mixed(z: str) -> str:
+    steps = (
+        f"(xor(z, z >> 30) * {MIX[0]}::UHUGEINT) & {MASK}::UHUGEINT",
+        f"(xor(z, z >> 27) * {MIX[1]}::UHUGEINT) & {MASK}::UHUGEINT", "xor(z, z >> 31)",
+    )
+    out = f"[{z}]"
+    for step in steps:
+        out = f"list_transform({out}, lambda z: {step})"
+    return f"{out}[1]"
+
+
 def draw(
-    name: str, queries: str, members: str, on: str, qkey: str, utility: str, epsilon: str,
-    seed: str, block: int,
+    name: str, queries: str, members: str, on: str, qkey: str, score: str, seed: str, run: str = "''",
 ) -> None:
-    """The draw of ``queries`` (alias q) among ``members`` (alias m, id column ``key``).
-
-    Groups within one block, and those where sampling would not pay, take the largest noisy
-    score; the others the first accepted proposal.
-    """
-    w = f"(q.{epsilon} / 2.0)"
+    """The draw of ``queries`` (alias q) among ``members`` (alias m, id column ``key``): the largest noisy score."""
     keys = [f"q.{k.strip()}" for k in qkey.split(",")]
     qcols = ", ".join(keys)
-    cte(f"{name}_sizes", f"""
-    SELECT {on}, ceil(count(*) / {block}.0)::BIGINT AS n_blocks, count(*) AS n FROM {members} GROUP BY {on}
-    """)
-    cte(f"{name}_placed", f"""
-    SELECT p.*, row_number() OVER (PARTITION BY {on}, block ORDER BY key) - 1 AS slot FROM (
-      SELECT m.*, s.n_blocks, s.n, ('0x'||substr(md5('block|'||m.key),1,8))::BIGINT % s.n_blocks AS block
-      FROM {members} m JOIN {name}_sizes s USING ({on})) p
-    """)
-    cte(f"{name}_stats", f"""
-    SELECT {on}, any_value(n) AS n, any_value(n_blocks) AS n_blocks, max(slot) + 1 AS cap
-    FROM {name}_placed GROUP BY {on}
+    text = f"concat_ws('|', {lit(seed)}, {run}, {', '.join(f'({k})::VARCHAR' for k in keys)})"
+    cte(f"{name}_q", f"SELECT q.*, {half(text, 0)} AS high, {half(text, 1)} AS low FROM {queries} q")
+    cte(f"{name}_m", f"SELECT m.*, {half('m.key::VARCHAR', 0)} AS mark FROM {members} m")
+    bits = mixed(f"xor({mixed(f'(q.high + m.mark) & {MASK}::UHUGEINT')}, q.low)")
+    noise_ = f"(-ln(-ln((({bits} >> 12)::DOUBLE + 0.5) / 4503599627370496.0)))"
+    cte(f"{name}_scored", f"SELECT {qcols}, m.key, {score} + {noise_} AS score FROM {name}_q q JOIN {name}_m m USING ({on})")
+    cte(f"{name}_drawn", f"""
+    SELECT {qkey}, arg_max(key, score) AS key, max(score) AS score FROM {name}_scored GROUP BY {qkey}
     """)
-    cte(f"{name}_q", f"""
-    SELECT q.*, s.n, s.n_blocks, s.cap, s.n_blocks > 1 AND exp({w}) * 4 < s.n AS sampled,
-           ceil(exp({w}) * 4)::BIGINT AS tries
-    FROM {queries} q JOIN {name}_stats s USING ({on})
-    """)
-    noise_ = gumbel(seed, *keys, "m.key")
-    cte(f"{name}_full", f"""
-    SELECT {qcols}, arg_max(m.key, {w} * {utility} + {noise_}) AS key
-    FROM {name}_q q JOIN {name}_placed m USING ({on}) WHERE NOT q.sampled GROUP BY {qcols}
-    """)
-    parts, low = [f"SELECT * FROM {name}_full"], "0"
-    cte(f"{name}_rem0", f"SELECT * FROM {name}_q WHERE sampled")
-    for r in range(DRAW_ROUNDS):
-        high = f"({low} + tries * {4**r})"
-        slot = f"floor({uniform(seed + '.slot', *keys, 'attempt')} * (q.n_blocks * q.cap)::DOUBLE)::BIGINT"
-        cte(f"{name}_try{r}", f"""
-        SELECT q.*, attempt, {slot} AS grid FROM {name}_rem{r} q, unnest(range({low}, {high})) t(attempt)
-        """)
-        accept = uniform(seed + ".accept", *keys, "q.attempt")
-        cte(f"{name}_acc{r}", f"""
-        SELECT {qcols}, arg_min(m.key, q.attempt) AS key
-        FROM {name}_try{r} q JOIN {name}_placed m
-          ON m.{on} = q.{on} AND m.block = q.grid // q.cap AND m.slot = q.grid % q.cap
-        WHERE {accept} < exp({w} * ({utility} - 1)) GROUP BY {qcols}
-        """)
-        cte(f"{name}_rem{r + 1}", f"SELECT q.* FROM {name}_rem{r} q ANTI JOIN {name}_acc{r} a USING ({qkey})")
-        parts.append(f"SELECT * FROM {name}_acc{r}")
-        low = high
-    cte(f"{name}_drawn", " UNION ALL ".join(parts))
 
 
-SIMILARITY = f"greatest({cosine('q.vec', 'm.vec')}, 0.0)"
+SIMILARITY = f"greatest(round({cosine('q.vec', 'm.vec')}, {PLACES}), 0.0)"
 cte("vec_queries", f"""
 SELECT v.doc_id, v.pos, v.vec_id, v.vec, c.cluster_id,
        {EPSILON} / count(*) OVER (PARTITION BY v.doc_id) AS eps
 FROM vecs v JOIN vec_cells c USING (vec_id)
 """)
-cte("vec_members", """
-SELECT label AS cluster_id, vec_id AS key, vec::FLOAT[]::DOUBLE[] AS vec FROM vecs
-""")
-cte("vec_members64", "SELECT label AS cluster_id, vec_id AS key, vec FROM vecs")
-for _name, _block in (("vd", BLOCK), ("vh", 16)):
-    draw(_name, "vec_queries", "vec_members64", "cluster_id", "doc_id, pos, vec_id", SIMILARITY,
-         "eps", DRAW_SEED, _block)
+cte("vec_members", "SELECT label AS cluster_id, vec_id AS key, vec FROM vecs")
+draw("vd", "vec_queries", "vec_members", "cluster_id", "doc_id, pos, vec_id", f"q.eps / 2.0 * {SIMILARITY}", DRAW_SEED)
 
 # Text store: embedded survivors, cells by sign, nearest cell.
-cte("store", """
-SELECT md5(triple) AS key, triple AS text, vec::FLOAT[]::DOUBLE[] AS vec
-FROM tt_vecs WHERE triple IN (SELECT triple FROM survivors)
-""")
+cte("pub_texts", "SELECT DISTINCT triple FROM pub_survivors")
+hash_vectors("pt", "pub_texts", "triple", text="triple")
+cte("store", "SELECT md5(triple) AS key, triple AS text, vec::FLOAT[]::DOUBLE[] AS vec FROM pt_vecs")
 cte("cells", f"""
 SELECT {sign_cell(CELL_BITS)}::INTEGER AS cluster_id, {mean_vec('vec', DIM)} AS centroid FROM store GROUP BY 1
 """)
 cte("store_cell", nearest("store", "cells", "key"))
 cte("store_members", "SELECT s.*, c.cluster_id FROM store s JOIN store_cell c USING (key)")
-cte("query_texts", "SELECT * FROM tt_vecs WHERE triple IN (SELECT triple FROM survivors)")
+cte("query_texts", "SELECT * FROM tt_vecs WHERE triple IN (SELECT triple FROM own_survivors)")
 cte("query_cell", nearest("query_texts", "cells", "triple"))
 cte("text_queries", f"""
 SELECT s.doc_id, s.pos, v.vec, c.cluster_id,
        {EPSILON} / count(*) OVER (PARTITION BY s.doc_id) AS eps
-FROM survivors s JOIN tt_vecs v USING (triple) JOIN query_cell c USING (triple)
+FROM own_survivors s JOIN tt_vecs v USING (triple) JOIN query_cell c USING (triple)
 """)
-draw("td", "text_queries", "store_members", "cluster_id", "doc_id, pos", SIMILARITY, "eps", DRAW_SEED, BLOCK)
+draw("td", "text_queries", "store_members", "cluster_id", "doc_id, pos", f"q.eps / 2.0 * {SIMILARITY}", DRAW_SEED)
 
 
 def verbalize(source: str, name: str) -> None:
@@ -466,31 +459,77 @@ SELECT *, coalesce(lower(last_value(CASE WHEN is_word THEN token END IGNORE NULL
 FROM (SELECT doc_id, (i - 1)::INTEGER AS pos, t[i] AS token, t[i] NOT IN {PUNCT} AS is_word, nw
       FROM (SELECT doc_id, {_toks} AS t, {word_tokens(_toks)} AS nw FROM turns) d, unnest(range(1, len(t) + 1)) r(i))
 """)
-cte("rep_queries", f"""
-SELECT doc_id, pos, coalesce(h.prev, '') AS word,
-       CASE WHEN h.prev IS NULL THEN 0.0::DOUBLE ELSE {EPSILON} / nw * {GAMMA} END AS eps
-FROM turn_slots s LEFT JOIN hist h ON h.prev = lower(s.token) WHERE is_word
-""")
+cte("word_pairs", """
+SELECT word, context, sum(n) AS n FROM (
+  SELECT prev AS word, word AS context, n FROM counts WHERE prev <> '<s>'
+  UNION ALL SELECT word, prev, n FROM counts WHERE prev <> '<s>') GROUP BY word, context
+""")
+cte("word_sums", "SELECT word, sum(n) AS total FROM word_pairs GROUP BY word")
+cte("word_info", """
+SELECT word, context, value, ('0x'||substr(md5(context),1,13))::BIGINT AS bits FROM (
+  SELECT p.word, p.context, ln(p.n::DOUBLE * (SELECT sum(total) FROM word_sums)::DOUBLE / a.total / b.total) AS value
+  FROM word_pairs p JOIN word_sums a ON a.word = p.word JOIN word_sums b ON b.word = p.context) WHERE value > 0
+""")
+_signs = ", ".join(f"sum(CASE WHEN (bits >> {i}) & 1 = 1 THEN value ELSE -value END)" for i in range(wordvecs.DIM))
+cte("word_raw", f"SELECT word, [{_signs}]::DOUBLE[] AS raw FROM word_info GROUP BY word")
+cte("word_units", f"SELECT word, {unit('raw')} AS vec FROM word_raw")
+cte("word_cells", f"SELECT word, vec, {sign_cell(wordvecs.CELL_BITS)} AS cell FROM word_units")
+cte("word_near", f"""
+SELECT word, candidate, sqrt(greatest(2.0 - 2.0 * cos, 0.0)) AS distance FROM (
+  SELECT a.word, b.word AS candidate, round(list_inner_product(a.vec, b.vec), {wordvecs.PLACES}) AS cos
+  FROM word_cells a JOIN word_cells b USING (cell)) WHERE cos > {1.0 - GAMMA * GAMMA / 2.0!r}
+""")
+cte("word_counts", "SELECT word, sum(n) AS n FROM counts GROUP BY word")
+
+
+def redrawn(name: str, queries: str, members: str, words_: str, on: str, seed: str) -> None:
+    """Words drawn from listed members (``key, u, u0``) and a base (``word, u``) of all words."""
+    more = "q.eps / 2.0 * m.u + ln(1.0 - exp(-q.eps / 2.0 * (m.u - m.u0)))"
+    draw(name, queries, members, on, "doc_id, pos", more, seed)
+    cte(f"{name}_ranked", f"SELECT word, u, row_number() OVER (ORDER BY u, word) - 1 AS rank FROM {words_}")
+    cte(f"{name}_classes", f"SELECT u, count(*) AS size, min(rank) AS first FROM {name}_ranked GROUP BY u")
+    cte(f"{name}_upto", f"""
+    SELECT e.eps, c.*, exp(e.eps / 2.0 * c.u) AS each,
+           sum(c.size * exp(e.eps / 2.0 * c.u)) OVER (PARTITION BY e.eps ORDER BY c.u) AS upto
+    FROM (SELECT DISTINCT eps FROM {queries}) e, {name}_classes c
+    """)
+    cte(f"{name}_places", f"""
+    SELECT q.doc_id, q.pos, q.eps, z, {uniform(seed + '.base', 'q.doc_id', 'q.pos')} * z AS place,
+           ln(z) + {gumbel(seed + '.any', 'q.doc_id', 'q.pos')} AS score
+    FROM {queries} q JOIN (SELECT eps, max(upto) AS z FROM {name}_upto GROUP BY eps) USING (eps)
+    """)
+    cte(f"{name}_any", f"""
+    SELECT p.doc_id, p.pos, p.score, r.word FROM {name}_places p JOIN {name}_upto c
+      ON c.eps = p.eps AND p.place >= c.upto - c.size * c.each AND p.place < c.upto
+    JOIN {name}_ranked r ON r.rank = c.first + least(floor((p.place - (c.upto - c.size * c.each)) / c.each)::BIGINT, c.size - 1)
+    """)
+    cte(f"{name}_out", f"""
+    SELECT s.doc_id, s.pos, CASE WHEN NOT s.is_word THEN s.token WHEN d.score > b.score THEN d.key ELSE b.word END AS token
+    FROM turn_slots s LEFT JOIN {name}_drawn d USING (doc_id, pos) LEFT JOIN {name}_any b USING (doc_id, pos)
+    """)
+
+
+cte("rep_queries", f"SELECT doc_id, pos, lower(token) AS word, {EPSILON} / nw AS eps FROM turn_slots WHERE is_word")
 cte("rep_members", f"""
-SELECT prev AS word, word AS key, -(logp / 1e9) AS distance FROM lm
-UNION ALL SELECT DISTINCT '', word, {GAMMA}::DOUBLE FROM lm
-""")
-draw("rd", "rep_queries", "rep_members", "word", "doc_id, pos",
-     f"(1.0 - least(m.distance, {GAMMA}::DOUBLE) / {GAMMA})", "eps", DRAW_SEED, BLOCK)
-cte("mlm_queries", """
-SELECT doc_id, pos, coalesce(h.prev, '') AS prev, 50.0::DOUBLE / nw AS eps
-FROM turn_slots s LEFT JOIN hist h ON h.prev = s.prev WHERE is_word
-""")
-cte("mlm_members", """
-SELECT prev, word AS key, logp / 1e9 AS logit FROM lm
-UNION ALL SELECT '', word, ln(sum(n) / (SELECT sum(n) FROM lm)) FROM lm GROUP BY word
+SELECT word, candidate AS key, 1.0 - distance / {GAMMA}::DOUBLE AS u, 0.0::DOUBLE AS u0 FROM word_near WHERE distance < {GAMMA}
 """)
-draw("md", "mlm_queries", "mlm_members", "prev", "doc_id, pos",
-     f"(({clamp('m.logit', LM_LOW, LM_HIGH)} - ({LM_LOW})) / {LM_HIGH - LM_LOW})", "eps", DRAW_SEED, BLOCK)
-cte("mlm_out", """
-SELECT s.doc_id, s.pos, CASE WHEN is_word THEN coalesce(d.key, '_') ELSE s.token END AS token
-FROM turn_slots s LEFT JOIN md_drawn d USING (doc_id, pos)
+cte("rep_words", "SELECT word, 0.0::DOUBLE AS u FROM word_counts")
+redrawn("rd", "rep_queries", "rep_members", "rep_words", "word", DRAW_SEED)
+
+
+def logit_utility(probability: str) -> str:
+    return f"round(({clamp(f'ln({probability})', LM_LOW, LM_HIGH)} - ({LM_LOW})) / {LM_HIGH - LM_LOW}, 12)"
+
+
+_single = "(0.2::DOUBLE * w.n::DOUBLE / (SELECT sum(n) FROM word_counts)::DOUBLE)"
+cte("mlm_queries", "SELECT doc_id, pos, prev, 50.0::DOUBLE / nw AS eps FROM turn_slots WHERE is_word")
+cte("mlm_members", f"""
+SELECT prev, word AS key, {logit_utility(f"0.8::DOUBLE * l.n / l.n_prev + {_single}")} AS u, {logit_utility(_single)} AS u0
+FROM lm l JOIN word_counts w USING (word)
+WHERE {logit_utility(f"0.8::DOUBLE * l.n / l.n_prev + {_single}")} > {logit_utility(_single)}
 """)
+cte("mlm_words", f"SELECT word, {logit_utility(_single)} AS u FROM word_counts w")
+redrawn("md", "mlm_queries", "mlm_members", "mlm_words", "prev", DRAW_SEED)
 
 cte("logits", "SELECT doc_id, pos, (i - 1)::INTEGER AS token, vec[i] * 60.0 AS logit FROM vecs, unnest(range(1, 65)) r(i)")
 cte("utilities", f"""
@@ -510,6 +549,40 @@ for _r in range(3):
       SELECT n.cluster_id, {mean_vec('v.vec', 64)} AS centroid
       FROM km_near{_r} n JOIN vecs v USING (vec_id) GROUP BY n.cluster_id) m USING (cluster_id)
     """)
+
+
+def kmeans(name: str, k: int, passes: int) -> None:
+    """Lloyd passes from every n/k-th vector in the order of signs; the last table is ``<name><passes>``."""
+    cte(f"{name}0", f"""
+    SELECT i::INTEGER AS cluster_id, vec AS centroid
+    FROM vec_order JOIN range({k}) r(i) ON position = (i * n) // least({k}, n) WHERE i < n
+    """)
+    for r in range(passes):
+        cte(f"{name}_near{r}", nearest("vecs", f"{name}{r}", "vec_id", "euclidean"))
+        cte(f"{name}{r + 1}", f"""
+        SELECT k.cluster_id, coalesce(m.centroid, k.centroid) AS centroid FROM {name}{r} k LEFT JOIN (
+          SELECT n.cluster_id, {mean_vec('v.vec', 64)} AS centroid
+          FROM {name}_near{r} n JOIN vecs v USING (vec_id) GROUP BY n.cluster_id) m USING (cluster_id)
+        """)
+
+
+cte("vec_order", """
+SELECT vec_id, vec, count(*) OVER () AS n, row_number() OVER (ORDER BY array_to_string(
+         list_transform(vec, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), ''), vec_id) - 1 AS position
+FROM vecs
+""")
+kmeans("kf", KMEANS[0], KMEANS[1])
+for _mode, (_k, _passes) in SIZES.items():
+    _g = f"g{_mode}_"
+    kmeans(_g, _k, _passes)
+    cte(f"{_g}label", nearest("vecs", f"{_g}{_passes}", "vec_id", "euclidean"))
+    cte(f"{_g}members", f"SELECT cluster_id, md5(vec_id::VARCHAR) AS key, vec, vec_id FROM vecs JOIN {_g}label USING (vec_id)")
+    cte(f"{_g}cell", nearest("vecs", f"{_g}{_passes}", "vec_id"))
+    cte(f"{_g}queries", f"""
+    SELECT v.doc_id, v.pos, v.vec, c.cluster_id, {EPSILON} / count(*) OVER (PARTITION BY v.doc_id) AS eps
+    FROM vecs v JOIN {_g}cell c USING (vec_id)
+    """)
+    draw(f"{_g}", f"{_g}queries", f"{_g}members", "cluster_id", "doc_id, pos", f"q.eps / 2.0 * {SIMILARITY}", DRAW_SEED)
 for _bits in (2, 3, 4):
     cte(f"wb{_bits}", f"""
     SELECT {sign_cell(_bits)} AS cluster_id, {mean_vec('vec', 64)} AS centroid FROM vecs GROUP BY 1
@@ -631,6 +704,11 @@ _SQL = {
     "perplexity_mean": f"SELECT round(avg(ppl), 4) AS mean_ppl FROM ({perplexity('', 'docs', 'doc_id')})",
     "embed_triples": components("tt_vecs", "triple", "vec", DIM),
     "truncate_dim": components("vecs32", "vec_id", "vec", DIM),
+    "kmeans_fit": components(f"kf{KMEANS[1]}", "cluster_id", "centroid", 64),
+    "granularity_roundtrip": " UNION ALL ".join(f"""
+        SELECT '{m}' AS granularity, d.doc_id, d.pos, s.vec_id AS chosen_id, s.cluster_id,
+               (SELECT count(*) FROM g{m}_label l WHERE l.cluster_id = s.cluster_id) AS n
+        FROM g{m}__drawn d JOIN g{m}_members s USING (key)""" for m in SIZES),
     "kmeans_refine": components("km3", "cluster_id", "centroid", 64),
     "kmeans_assign": nearest("vecs", "label_means", "vec_id", "euclidean"),
     "cluster_counts": f"""
@@ -640,12 +718,12 @@ _SQL = {
     "cluster_candidates": f"""
         SELECT q.vec_id, count(*) AS n_candidates, round(max({SIMILARITY}), 6) AS max_utility,
                round(avg({SIMILARITY}), 6) AS mean_utility
-        FROM vec_queries q JOIN vec_members64 m USING (cluster_id) GROUP BY q.vec_id""",
+        FROM vec_queries q JOIN vec_members m USING (cluster_id) GROUP BY q.vec_id""",
     "cluster_topk": f"""
         SELECT vec_id, rank::INTEGER AS rank, neighbour, round(u, 6) AS utility FROM (
           SELECT q.vec_id, m.key AS neighbour, {SIMILARITY} AS u,
                  row_number() OVER (PARTITION BY q.vec_id ORDER BY {SIMILARITY} DESC, m.key) AS rank
-          FROM vec_queries q JOIN vec_members64 m USING (cluster_id)) WHERE rank <= 5""",
+          FROM vec_queries q JOIN vec_members m USING (cluster_id)) WHERE rank <= 5""",
     "pairwise_cosine": f"""
         SELECT v.vec_id, round({cosine('v.vec', 'c.centroid')}, 6) AS cos
         FROM vecs v JOIN label_means c ON c.cluster_id = v.label""",
@@ -659,7 +737,7 @@ _SQL = {
         SELECT label, vec_id, round(exp({EPSILON} * utility / 2.0)
                / sum(exp({EPSILON} * utility / 2.0)) OVER (PARTITION BY label), 6) AS prob FROM utilities""",
     "privatize_triples": "SELECT doc_id, pos, vec_id, key AS chosen_id FROM vd_drawn",
-    "privatize_triples_hot": "SELECT doc_id, pos, vec_id, key AS chosen_id FROM vh_drawn",
+    "privatize_triples_hot": "SELECT doc_id, pos, vec_id, key AS chosen_id FROM vd_drawn",
     "vector_clip": components("vecs", "vec_id", "vec", 64, _clip),
     "noise_laplace": _drop_ids(_noisy(laplace(_scale("laplace"), DRAW_SEED, "doc_id", "pos", "i"))),
     "noise_gaussian": _drop_ids(_noisy(normal(_scale("gaussian"), DRAW_SEED, "doc_id", "pos", "i"))),
@@ -683,12 +761,11 @@ _SQL = {
     "sample_tokens_direct": f"""
         SELECT doc_id, pos, arg_max(token, {clamp('logit')} / ({_mlm_temperature} / 100.0::DOUBLE)
                + {gumbel(DRAW_SEED, 'doc_id', 'pos', 'token')}) AS token FROM logits GROUP BY doc_id, pos""",
-    "replace_words": """
-        SELECT s.doc_id, s.pos, CASE WHEN is_word THEN coalesce(d.key, '_') ELSE token END AS token
-        FROM turn_slots s LEFT JOIN rd_drawn d USING (doc_id, pos)""",
-    "rewrite_tokens": "SELECT doc_id, pos, token FROM mlm_out",
+    "word_neighbours": "SELECT word, candidate, round(distance, 6) AS distance FROM word_near",
+    "replace_words": "SELECT doc_id, pos, token FROM rd_out",
+    "rewrite_tokens": "SELECT doc_id, pos, token FROM md_out",
     "rewrite_text": f"""
-        SELECT doc_id, {detokenize('list(token ORDER BY pos)')} AS text FROM mlm_out GROUP BY doc_id""",
+        SELECT doc_id, {detokenize('list(token ORDER BY pos)')} AS text FROM md_out GROUP BY doc_id""",
     "epsilon_grid": "SELECT dataset, epsilon FROM grid",
     "sweep": f"""
         SELECT g.dataset, 'words' AS method, g.epsilon, d.doc_id, md5(array_to_string({words('d.text')}, ' ')) AS digest

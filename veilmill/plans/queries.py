@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilmill.functions import text as tx
 from veilmill.functions import vectors as vx
 from veilmill.operators import clusters as cl
-from veilmill.operators import draw, evaluate, generate, lsh, ngram_lm, noise, privatize
+from veilmill.operators import draw, evaluate, generate, lsh, ngram_lm, noise, privatize, wordvecs
 from veilmill.operators import starcluster as star
 from veilmill.operators import sweep as sw
 from veilmill.operators import tokens as tk
@@ -35,7 +35,10 @@ VECTOR_DIM = 64  # of the given vectors
 NOISE_EPSILONS = (1.0, 15.0, 57.5)
 # Logit range of the bigram model (natural logs of probabilities).
 LM_LOW, LM_HIGH = -12.0, 0.0
-GAMMA = 6.0
+GAMMA = 1.0  # of the distance of unit vectors
+KMEANS = (10, 10)  # clusters and passes
+# Clusters and passes of the three granularities, in proportion to the given vectors.
+SIZES = {"50k": (4, 2), "100k": (8, 3), "200k": (16, 3)}
 
 
 def query(fn: Query) -> Query:
@@ -102,14 +105,13 @@ def label_centroids(vecs: DataFrame, dim: int) -> DataFrame:
 
 
 def text_store(spark: SparkSession, sf: str):
-    """Embedded survivors, the public store made from them, its cells and blocks."""
-    found, lm = deduped(spark, sf)
-    triples = cut_lineage(embed_text(found.survivors, DIM, "triple"), "survivors")
-    public = cut_lineage(prepare.public_store(triples), "store")
-    centroids = cut_lineage(cl.sign_centroids(public, DIM, CELL_BITS), "centroids")
-    labelled = cl.nearest_centroid(public, centroids)
-    blocks = cut_lineage(privatize.store_blocks(labelled), "blocks")
-    return triples, blocks, centroids, lm
+    """The public side, from conversation turns: a language model, the store's blocks and its cells."""
+    public = turns(spark, sf)
+    lm = ngram_lm.train_ngram_lm(public)
+    store_rows = cut_lineage(prepare.public_store(prepare.embedded_survivors(public, lm, DIM)), "store")
+    centroids = cut_lineage(cl.sign_centroids(store_rows, DIM, CELL_BITS), "centroids")
+    labelled = cl.nearest_centroid(store_rows, centroids)
+    return lm, cut_lineage(privatize.store_blocks(labelled), "blocks"), centroids
 
 
 def verbalized(spark: SparkSession, sf: str) -> DataFrame:
@@ -371,7 +373,35 @@ def truncate_dim(spark, sf):
 @query
 def kmeans_fit(spark, sf):
     vecs = vectors(spark, sf).withColumn("key", F.col("vec_id"))
-    return unfolded(cl.fit_clusters(vecs, 10, VECTOR_DIM), ["cluster_id"], "centroid")
+    return unfolded(cl.fit_clusters(vecs, KMEANS[0], VECTOR_DIM, KMEANS[1]), ["cluster_id"], "centroid")
+
+
+@query
+def granularity_roundtrip(spark, sf):
+    """Three granularities from the fit over centroid tables and labels in the store to the draw."""
+    path = f"{scratch_dir(spark)}/centroids-{uuid.uuid4().hex}"
+    rows = vectors(spark, sf)
+    public = cut_lineage(rows.select(F.md5(F.col("vec_id").cast("string")).alias("key"), "vec_id", "vec"), "public")
+    for mode, made in cl.fit_granularities(public, VECTOR_DIM, SIZES).items():
+        store.write_centroids(made, mode, path)
+    centroids = {mode: cut_lineage(store.read_centroids(spark, mode, path), "centroids") for mode in SIZES}
+    labels = cl.label_triples(public, centroids, "euclidean").drop("vec", "vec_id")
+    labelled = cut_lineage(store.write_labels(public, labels), "labelled")
+    parts = []
+    for mode, table_ in centroids.items():
+        label = cl.granularity_column(mode)
+        blocks = cut_lineage(
+            privatize.store_blocks(labelled, attrs=("vec", "vec_id", label), granularity=mode), "blocks"
+        )
+        drawn = privatize.privatize_triples(
+            rows.select("doc_id", "pos", "vec"), blocks, table_, EPSILON, DRAW_SEED, keep=("vec_id", label)
+        )
+        drawn = drawn.select(
+            F.lit(mode).alias("granularity"), "doc_id", "pos", F.col("chosen.vec_id").alias("chosen_id"),
+            F.col(f"chosen.{label}").alias("cluster_id"),
+        )
+        parts.append(drawn.join(cl.cluster_counts(labelled, table_, label), "cluster_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
@@ -428,7 +458,7 @@ def cluster_topk(spark, sf):
     queries, blocks, _ = _vector_search(spark, sf, 32)
     top = draw.topk_in_group(queries, blocks, ["cluster_id"], ["vec_id"], privatize.similarity, 5)
     return top.select(
-        "vec_id", "rank", F.col("member.key").alias("neighbour"), F.round("utility", 6).alias("utility")
+        "vec_id", "rank", F.col("key").alias("neighbour"), F.round("utility", 6).alias("utility")
     )
 
 
@@ -488,7 +518,7 @@ def privatize_triples(spark, sf):
 
 @query
 def privatize_triples_hot(spark, sf):
-    """The same draw with small blocks, so that clusters are sampled by rejection."""
+    """The same draw with small blocks, as of a hot cluster: the same winners."""
     queries, blocks, centroids = _vector_search(spark, sf, 16)
     made = privatize.privatize_triples(
         queries.select("doc_id", "pos", "vec_id", "vec"), blocks, centroids, EPSILON, DRAW_SEED,
@@ -584,18 +614,21 @@ def _turn_model(spark, sf):
 
 def _rewritten(spark, sf):
     docs, lm = _turn_model(spark, sf)
-    return tk.rewrite_tokens(
-        docs, tk.bigram_candidates(lm), F.lit(50.0), DRAW_SEED, LM_LOW, LM_HIGH, fallback=tk.unigram_candidates(lm)
-    )
+    return tk.rewrite_tokens(docs, tk.backoff(lm, LM_LOW, LM_HIGH), F.lit(50.0), DRAW_SEED)
+
+
+@query
+def word_neighbours(spark, sf):
+    lm = ngram_lm.train_ngram_lm(corpus.spread(_lm_corpus(spark, sf)))
+    near = wordvecs.word_neighbours(wordvecs.projected(wordvecs.information(lm)), GAMMA)
+    return near.select("word", "candidate", F.round("distance", 6).alias("distance"))
 
 
 @query
 def replace_words(spark, sf):
     docs, lm = _turn_model(spark, sf)
-    near = tk.bigram_candidates(lm).select(
-        F.col("prev").alias("word"), "candidate", (-F.col("logit")).alias("distance")
-    )
-    return tk.replace_words(docs, near, F.lit(EPSILON), GAMMA, DRAW_SEED)
+    near = cut_lineage(wordvecs.word_neighbours(wordvecs.projected(wordvecs.information(lm)), GAMMA), "near")
+    return tk.replace_words(docs, near, lm.bigrams, F.lit(EPSILON), GAMMA, DRAW_SEED)
 
 
 @query
@@ -680,10 +713,9 @@ def clean_generation(spark, sf):
 
 @query
 def privatize_documents(spark, sf):
-    triples, blocks, centroids, lm = text_store(spark, sf)
-    return plan.privatize_documents(
-        documents(spark, sf), lm, blocks, centroids, EPSILON, DRAW_SEED, triples=triples
-    )
+    """Documents rewritten with triples of a store that holds none of their own text."""
+    lm, blocks, centroids = text_store(spark, sf)
+    return plan.privatize_documents(documents(spark, sf), lm, blocks, centroids, EPSILON, DRAW_SEED)
 
 
 # ---- evaluation ---------------------------------------------------------------------------
