@@ -13,11 +13,12 @@ shingle that at least two different sets hold among their first names a shard.
 behind the first shingle that they share, a member's place in the order bounds its overlap, too.  The order
 decides cost only; no link is lost by it.
 
-Three steps keep groups of copies linear.  Equal sets are one member.  Then every set goes, with its shingles, to the
-shard of its first shared shingle alone, which links most near copies; large shards are cut into parts whose
-components send one member each to another turn.  At last all shards are searched in which more than one component
-is left: first by signatures, then, with their shingles, the members that have a partner left.  Large shards are
-cut into parts, and pairs of parts are searched.  A shard gives links that connect what is linked, not all pairs.
+Three steps keep groups of copies linear.  Equal sets are one member.  Then every set goes to the shard of its first
+shared shingle alone, which links most near copies; large shards are cut into parts whose components send one
+member each to another turn.  At last all shards are searched in which more than one component is left; large ones
+are cut into parts, and pairs of parts are searched.  Signatures of one width travel first; shingles only for the
+members that have a possible partner left, and for a pair that meets in several shards to one of them.  A shard
+gives links that connect what is linked, not all pairs.
 
 Defined results: texts without words, or null, have no set, are linked with nothing, and are their own component.
 The component id is the smallest id, null ids left out; rows of one text get the same.  Sets are told apart, and
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,7 @@ FAN = 8  #: children of a node
 BITS = 1024  #: of a node's signature
 WIDEST = 1 << 16  #: bits of a member's signature
 PART = 1024  #: members of a tree
+DENSE = 4  #: possible pairs for each member above which a shard is compared whole
 WEIGHT = 1 << 20  #: shingles of a tree's members
 SAMPLE = 4096  #: rows in which frequent shingles are looked for
 FREQUENT = 1 << 16  #: shingles ordered last at most, of those in FEW texts of the sample
@@ -94,16 +97,18 @@ def least_shared(size: int, share: tuple[int, int]) -> int:
 
 
 def described(text: str | None, frequent: np.ndarray, width: int, share: tuple[int, int]) -> tuple:
-    """``n, id, sig, keys``: size, hash and signature of the set, and the first shingles in the common order."""
+    """``n, id, sig, fold, keys`` of a set: size, hash, signature (whole, and of a node's width), and the first
+    shingles in the common order."""
     hashes = shingle_set(text, width)
     n = len(hashes)
     if not n:
-        return 0, None, None, None
+        return 0, None, None, None, None
     at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
     last = frequent[at] == hashes if len(frequent) else np.zeros(n, bool)
     first = np.concatenate([hashes[~last], hashes[last]])[: n - least_shared(n, share) + 1]
     of = xxhash.xxh64_intdigest(hashes.tobytes())
-    return n, of - (of >> 63 << 64), signature(hashes), first.view(np.int64)
+    sig = signature(hashes)
+    return n, of - (of >> 63 << 64), sig, _folded(sig, BITS // 8), first.view(np.int64)
 
 
 # ---- trees --------------------------------------------------------------------------------
@@ -223,12 +228,27 @@ class Members:
         most = min(m - (x & ~y).bit_count(), n - (y & ~x).bit_count())
         return most * (part + whole) >= part * (m + n)
 
-    def partnered(self) -> np.ndarray:
-        """Marks the members that may be linked with another one."""
-        marked = np.zeros(len(self.of["id"]), bool)
+    def partnered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of members that may be linked, and the ids of the pairs they are in.
+
+        A pair gives both of its members.  Of a dense shard each such member is given once, with its own id
+        twice: it asks for the whole shard.
+        """
+        shard = self.shard_of_member()
+        members = np.bincount(shard)
+        count, marked, held = np.zeros(len(members), np.int64), np.zeros(len(shard), bool), []
         for a, b in self.pairs():
+            count += np.bincount(shard[a], minlength=len(members))
             marked[a] = marked[b] = True
-        return marked
+            sparse = count[shard[a]] <= DENSE * members[shard[a]]
+            held.append((a[sparse], b[sparse]))
+        a, b = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+        sparse = count[shard[a]] <= DENSE * members[shard[a]]
+        a, b = a[sparse], b[sparse]
+        dense = np.flatnonzero(marked & (count > DENSE * members)[shard])
+        ids = self.of["id"]
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        return np.concatenate([a, b, dense]), np.concatenate([low, low, ids[dense]]), np.concatenate([high, high, ids[dense]])
 
     def links(self, bodies: np.ndarray) -> tuple[list[int], list[int]]:
         """Links that connect what is linked, found by comparing shingles (``bodies`` as given, before sorting)."""
@@ -313,18 +333,20 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def _partnered(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The rows of members that have a possible partner by their signatures."""
+    """The rows of members that have a possible partner by their signatures, each pair in one shard."""
     fields = list(Members.FIELDS)
     kept = fields[:-1]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_shards(batches, fields):
             members = Members(columns, share)
-            marked = members.partnered()
-            yield pa.RecordBatch.from_arrays([pa.array(members.of[c][marked]) for c in kept], names=kept)
+            at, a, b = members.partnered()
+            yield pa.RecordBatch.from_arrays([pa.array(members.of[c][at]) for c in kept] + [pa.array(a), pa.array(b)], names=[*kept, "a", "b"])
 
-    kinds = "key long, low int, high int, part int, id long, comp long, n int, rest int"
-    return _met(rows).select(*fields).mapInArrow(search, kinds)
+    kinds = "key long, low int, high int, part int, id long, comp long, n int, rest int, a long, b long"
+    found = cut_lineage(_met(rows).select(*fields).mapInArrow(search, kinds), "possible")
+    one = found.where("a < b").groupBy("a", "b", "id").agg(F.min(F.struct(*(c for c in kept if c != "id"))).alias("one"))
+    return one.select("id", "one.*").select(*kept).unionByName(found.where("a = b").select(*kept)).distinct()
 
 
 def _linked(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -361,21 +383,41 @@ def _sizes(members: DataFrame, several: Column) -> DataFrame:
     ).where(several).drop("_1", "_2")
 
 
-def _first_turns(first: DataFrame, bodies: DataFrame, share: tuple[int, int]) -> DataFrame:
+class Corpus(NamedTuple):
+    """The texts, and ``id, sig, fold, version`` of the different sets that share a shingle with another."""
+
+    docs: DataFrame
+    known: DataFrame
+    width: int
+    share: tuple[int, int]
+
+    def links(self, rows: DataFrame) -> DataFrame:
+        """Links in the shards of ``rows``: by signatures first, then by the shingles of what is left."""
+        folds = self.known.select("id", F.col("fold").alias("sig"))
+        left = cut_lineage(_partnered(rows.join(folds, "id"), self.share), "partnered")
+        of = self.known.join(left.select("id").distinct(), "id", "left_semi").select("id", "sig", "version")
+        of = cut_lineage(of, "compared")
+        width = self.width
+        body = text_udf(lambda: lambda text: shingle_set(text, width).tobytes(), "binary")
+        texts = self.docs.withColumn("version", F.xxhash64("text")).join(of.select("version"), "version", "left_semi")
+        texts = texts.groupBy("version").agg(F.first("text").alias("text"))
+        bodies = cut_lineage(of.join(texts, "version").select("id", "sig", body("text").alias("body")), "bodies")
+        return cut_lineage(_linked(left.join(bodies, "id"), self.share), "links")
+
+
+def _first_turns(first: DataFrame, corpus: Corpus) -> DataFrame:
     """Links found where every set meets others in one shard only."""
     links, reps, turn = None, cut_lineage(first.withColumn("comp", F.col("id")), "first"), 0
     while True:
         sizes = cut_lineage(_sizes(reps, F.col("_1") < F.col("_2")), "sizes")
-        found = cut_lineage(_linked(_dealt(reps, sizes, False, turn).join(bodies, "id"), share), "links")
+        found = corpus.links(_dealt(reps, sizes, False, turn))
         links = found if links is None else cut_lineage(links.unionByName(found), "links")
-        largest = sizes.agg(F.max("members"), F.max("weight")).first()
-        if (largest[0] or 0) <= PART and (largest[1] or 0) <= WEIGHT:
+        large = sizes.where((F.col("members") > PART) | (F.col("weight") > WEIGHT)).select("key")
+        if large.isEmpty():
             return links
         before = reps.count()
-        large = sizes.where((F.col("members") > PART) | (F.col("weight") > WEIGHT)).select("key")
         first = cut_lineage(first.join(large, "key", "left_semi"), "first")
-        roots = components(links)
-        placed = first.join(roots, first["id"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+        placed = first.join(_roots(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         one = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_of"), *first.columns)).alias("one")
         reps = cut_lineage(placed.groupBy("key", "comp").agg(one).select("one.*", "comp").select(*first.columns, "comp"), "first")
         turn += 1
@@ -393,12 +435,12 @@ def classes(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHAR
     docs = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, width))
     describe = text_udf(
-        lambda: lambda text: described(text, shared.value, width, share), "n int, id long, sig binary, keys array<long>"
+        lambda: lambda text: described(text, shared.value, width, share), "n int, id long, sig binary, fold binary, keys array<long>"
     )
     marked = docs.select("doc_id", F.xxhash64("text").alias("version"), describe("text").alias("set"))
     marked = cut_lineage(marked.select("doc_id", "version", "set.*"), "sets")
     kinds = cut_lineage(
-        marked.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sig", "keys")), F.min("version").alias("version")),
+        marked.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sig", "fold", "keys")), F.min("version").alias("version")),
         "kinds",
     )
     held = kinds.select("id", "n", F.posexplode("keys").alias("pos", "key")).select(
@@ -407,21 +449,14 @@ def classes(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHAR
     several = held.groupBy("key").agg(F.min("id").alias("_1"), F.max("id").alias("_2")).where("_1 < _2").select("key")
     members = cut_lineage(held.join(several, "key", "left_semi"), "members")
     met = cut_lineage(members.groupBy("id").agg(F.max(F.struct("rest", "key", "n")).alias("one")).select("id", "one.*"), "met")
-    known = cut_lineage(kinds.join(met.select("id"), "id", "left_semi").select("id", "sig", "version"), "signatures")
-    body = text_udf(lambda: lambda text: shingle_set(text, width).tobytes(), "binary")
-    texts = docs.withColumn("version", F.xxhash64("text")).join(known.select("version"), "version", "left_semi")
-    texts = texts.groupBy("version").agg(F.first("text").alias("text"))
-    bodies = known.join(texts, "version").select("id", "sig", body("text").alias("body"))
-    bodies = cut_lineage(bodies, "bodies")
-
-    links = _first_turns(met.select("key", "id", "n", "rest"), bodies, share)
-    comps = _roots(links)
-    placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    known = cut_lineage(kinds.join(met.select("id"), "id", "left_semi").select("id", "sig", "fold", "version"), "signatures")
+    corpus = Corpus(docs, known, width, share)
+
+    links = _first_turns(met.select("key", "id", "n", "rest"), corpus)
+    placed = members.join(_roots(links), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     placed = cut_lineage(placed, "placed")
     sizes = cut_lineage(_sizes(placed, F.col("_1") < F.col("_2")), "sizes")
-    left = _partnered(_dealt(placed, sizes, True, 0).join(known.select("id", "sig"), "id"), share)
-    left = cut_lineage(left, "partnered")
-    more = _linked(left.join(bodies, "id"), share)
+    more = corpus.links(_dealt(placed, sizes, True, 0))
     return marked.select("doc_id", "id", "n"), _roots(cut_lineage(links.unionByName(more), "links"))
 
 
