@@ -81,11 +81,21 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``lang, digest, text`` of every different text, and ``lang, digest, source, n``, its rows by source."""
+    """``lang, source, n, digest, text``: each text of a language once for every source, and all ``lang, source``.
+
+    Only texts that repeat leave their task to be collapsed.
+    """
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    rows = rows.withColumn("digest", F.sha2("text", 256))
-    texts = rows.where("text <> ''").groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    return texts, rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    counts = cut_lineage(rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")), "multiplicity")
+    again = counts.groupBy("lang", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("lang", "digest")
+    again = cut_lineage(again, "repeated")
+    full = rows.where("text <> ''")
+    once = full.join(again, ["lang", "digest"], "left_anti").withColumn("n", F.lit(1).cast("bigint"))
+    texts = full.join(again, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    columns = ["lang", "source", "n", "digest", "text"]
+    several = texts.join(counts, ["lang", "digest"]).select(*columns)
+    return once.select(*columns).unionByName(several), counts.select("lang", "source").distinct()
 
 
 def _probability(count: str) -> Column:
@@ -102,9 +112,7 @@ def counted(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, D
 
     ``lang, term, q``; ``lang, source, v, total, z``; ``lang, source, term, n, p`` of the terms that occur in a group.
     """
-    texts, multiplicity = collapsed(docs)
-    multiplicity = cut_lineage(multiplicity, "multiplicity")
-    rows = texts.join(multiplicity, ["lang", "digest"]).select("lang", "source", "n", "digest", "text")
+    rows, occurring = collapsed(docs)
     parts = rows.mapInArrow(_term_counts, "lang string, source string, term string, n bigint, documents bigint")
     found = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
     found = cut_lineage(found, "counts")
@@ -115,7 +123,7 @@ def counted(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, D
     found = found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("present"))
     groups = (
-        multiplicity.select("lang", "source").distinct()
+        occurring
         .join(totals, ["lang", "source"], "left").join(sizes.select("lang", "v"), "lang", "left")
         .select("lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("v", "total", "present")))
         .withColumn("z", _probability("0"))
