@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from veilmill.llm import divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, n long, v int, digest string, p long"
@@ -35,7 +37,10 @@ def brute(rows, least=3, top=200):
     return sorted(out)
 
 
-def test_audit_matches_brute_force(spark):
+@pytest.mark.parametrize("few", [0, divergence.FEW_REPEATED])
+def test_audit_matches_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(divergence, "FEW_REPEATED", few)
+    monkeypatch.setattr(divergence, "HELD", 40 if few else divergence.HELD)
     rnd = random.Random(3)
     words = ["the", "The", "é", "Été", "a-b", "don't", "x1y", "漢字", "zz"] + [f"w{chr(97 + k)}" for k in range(20)]
     rows = [(0, None, "en", "a"), (1, "", "en", None), (2, "12 !", "xx", "only"), (3, "word word", "yy", "a"), (4, "other", "yy", "b")]

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from veilmill.session import cut_lineage
 
 HELD = 1 << 19  #: counts that a task holds before it passes them on
+FEW_REPEATED = 1 << 22  #: 64-bit hashes of repeated texts that are broadcast, 32 MB
 LEAST_DOCUMENTS = 3
 TOP = 200
 _LOWER = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
@@ -83,19 +84,29 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def collapsed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``lang, source, n, digest, text``: each text of a language once for every source, and all ``lang, source``.
 
-    Only texts that repeat leave their task to be collapsed.
+    While the hashes of repeated texts are few enough to be sent to all tasks, only texts with such a hash are
+    exchanged, and the others stay where they are; beyond that all texts are exchanged once.
     """
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
     counts = cut_lineage(rows.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")), "multiplicity")
-    again = counts.groupBy("lang", "digest").agg(F.sum("n").alias("n")).where("n > 1").select("lang", "digest")
+    mark = F.xxhash64("lang", "digest").alias("mark")
+    again = counts.groupBy("lang", "digest").agg(F.sum("n").alias("n")).where("n > 1").select(mark).distinct()
     again = cut_lineage(again, "repeated")
-    full = rows.where("text <> ''")
-    once = full.join(again, ["lang", "digest"], "left_anti").withColumn("n", F.lit(1).cast("bigint"))
-    texts = full.join(again, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.first("text").alias("text"))
     columns = ["lang", "source", "n", "digest", "text"]
-    several = texts.join(counts, ["lang", "digest"]).select(*columns)
-    return once.select(*columns).unionByName(several), counts.select("lang", "source").distinct()
+    full = rows.where("text <> ''").select("*", mark)
+
+    def together(some: DataFrame) -> DataFrame:
+        texts = some.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+        return texts.join(counts, ["lang", "digest"]).select(*columns)
+
+    if again.count() <= FEW_REPEATED:
+        again = F.broadcast(again)
+        once = full.join(again, "mark", "left_anti").withColumn("n", F.lit(1).cast("bigint")).select(*columns)
+        rows = once.unionByName(together(full.join(again, "mark", "left_semi")))
+    else:
+        rows = together(full)
+    return rows, counts.select("lang", "source").distinct()
 
 
 def _probability(count: str) -> Column:
