@@ -472,7 +472,9 @@ SELECT word, context, value, ('0x'||substr(md5(context),1,13))::BIGINT AS bits F
 """)
 _signs = ", ".join(f"sum(CASE WHEN (bits >> {i}) & 1 = 1 THEN value ELSE -value END)" for i in range(wordvecs.DIM))
 cte("word_raw", f"SELECT word, [{_signs}]::DOUBLE[] AS raw FROM word_info GROUP BY word")
-cte("word_units", f"SELECT word, {unit('raw')} AS vec FROM word_raw")
+cte("word_units", f"""
+SELECT word, list_transform({unit('raw')}, lambda x: round(x, {wordvecs.PLACES})) AS vec FROM word_raw
+""")
 cte("word_cells", f"SELECT word, vec, {sign_cell(wordvecs.CELL_BITS)} AS cell FROM word_units")
 cte("word_near", f"""
 SELECT word, candidate, sqrt(greatest(2.0 - 2.0 * cos, 0.0)) AS distance FROM (
