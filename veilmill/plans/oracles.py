@@ -15,7 +15,7 @@ from veilmill.operators.sweep import FACTORS
 from veilmill.operators.tokens import MAX_LOGIT, MIN_LOGIT
 from veilmill.operators.triples import ANCHORS
 from veilmill.plans.queries import (
-    CELL_BITS, DIM, DRAW_SEED, EPSILON, GAMMA, KMEANS, LM_HIGH, LM_LOW, NOISE_EPSILONS, SIZES,
+    CELL_BITS, DIM, DRAW_SEED, EPSILON, GAMMA, KMEANS, LM_HIGH, LM_LOW, NOISE_EPSILONS, SIZES, TURNS,
 )
 
 STAR_ROUNDS = 8
@@ -110,7 +110,7 @@ def cte(name: str, sql: str) -> None:
 cte("docs", "SELECT doc_id, text, lang, source FROM documents")
 cte("accepted", "SELECT doc_id, text FROM documents WHERE lang = 'en' AND length(text) <= 10000")
 cte("accepted_triples", "SELECT t.* FROM triples t JOIN accepted USING (doc_id)")
-cte("turns", "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations")
+cte("turns", f"SELECT conv_id * {TURNS} + turn AS doc_id, text, role FROM conversations")
 cte("items", "SELECT item_id AS doc_id, text FROM benchmark")
 
 
@@ -327,11 +327,16 @@ def mixed(z: str) -> str:
 
 
 def draw(
-    name: str, queries: str, members: str, on: str, qkey: str, score: str, seed: str, run: str = "''",
+    name: str, queries: str, members: str, on: str, qkey: str, score: str, seed: str, runs: bool = False,
 ) -> None:
-    """The draw of ``queries`` (alias q) among ``members`` (alias m, id column ``key``): the largest noisy score."""
+    """The draw of ``queries`` (alias q) among ``members`` (alias m, id column ``key``): the largest noisy score.
+
+    With ``runs`` the queries have a run, which is part of the key.
+    """
     keys = [f"q.{k.strip()}" for k in qkey.split(",")]
-    qcols = ", ".join(keys)
+    run = "q.run" if runs else "''"
+    qkey += ", run" * runs
+    qcols = ", ".join(keys + ["q.run"] * runs)
     text = f"concat_ws('|', {lit(seed)}, {run}, {', '.join(f'({k})::VARCHAR' for k in keys)})"
     cte(f"{name}_q", f"SELECT q.*, {half(text, 0)} AS high, {half(text, 1)} AS low FROM {queries} q")
     cte(f"{name}_m", f"SELECT m.*, {half('m.key::VARCHAR', 0)} AS mark FROM {members} m")
@@ -484,10 +489,14 @@ SELECT word, candidate, sqrt(greatest(2.0 - 2.0 * cos, 0.0)) AS distance FROM (
 cte("word_counts", "SELECT word, sum(n) AS n FROM counts GROUP BY word")
 
 
-def redrawn(name: str, queries: str, members: str, words_: str, on: str, seed: str) -> None:
+def redrawn(
+    name: str, queries: str, members: str, words_: str, on: str, seed: str, slots: str = "turn_slots", runs: bool = False
+) -> None:
     """Words drawn from listed members (``key, u, u0``) and a base (``word, u``) of all words."""
+    ids = "doc_id, pos" + ", run" * runs
+    qids = ["q.doc_id", "q.pos"] + ["q.run"] * runs
     more = "q.eps / 2.0 * m.u + ln(1.0 - exp(-q.eps / 2.0 * (m.u - m.u0)))"
-    draw(name, queries, members, on, "doc_id, pos", more, seed)
+    draw(name, queries, members, on, "doc_id, pos", more, seed, runs)
     cte(f"{name}_ranked", f"SELECT word, u, row_number() OVER (ORDER BY u, word) - 1 AS rank FROM {words_}")
     cte(f"{name}_classes", f"SELECT u, count(*) AS size, min(rank) AS first FROM {name}_ranked GROUP BY u")
     cte(f"{name}_upto", f"""
@@ -496,18 +505,18 @@ def redrawn(name: str, queries: str, members: str, words_: str, on: str, seed: s
     FROM (SELECT DISTINCT eps FROM {queries}) e, {name}_classes c
     """)
     cte(f"{name}_places", f"""
-    SELECT q.doc_id, q.pos, q.eps, z, {uniform(seed + '.base', 'q.doc_id', 'q.pos')} * z AS place,
-           ln(z) + {gumbel(seed + '.any', 'q.doc_id', 'q.pos')} AS score
+    SELECT {', '.join(qids)}, q.eps, z, {uniform(seed + '.base', *qids)} * z AS place,
+           ln(z) + {gumbel(seed + '.any', *qids)} AS score
     FROM {queries} q JOIN (SELECT eps, max(upto) AS z FROM {name}_upto GROUP BY eps) USING (eps)
     """)
     cte(f"{name}_any", f"""
-    SELECT p.doc_id, p.pos, p.score, r.word FROM {name}_places p JOIN {name}_upto c
+    SELECT p.* EXCLUDE (eps, z, place), r.word FROM {name}_places p JOIN {name}_upto c
       ON c.eps = p.eps AND p.place >= c.upto - c.size * c.each AND p.place < c.upto
     JOIN {name}_ranked r ON r.rank = c.first + least(floor((p.place - (c.upto - c.size * c.each)) / c.each)::BIGINT, c.size - 1)
     """)
     cte(f"{name}_out", f"""
-    SELECT s.doc_id, s.pos, CASE WHEN NOT s.is_word THEN s.token WHEN d.score > b.score THEN d.key ELSE b.word END AS token
-    FROM turn_slots s LEFT JOIN {name}_drawn d USING (doc_id, pos) LEFT JOIN {name}_any b USING (doc_id, pos)
+    SELECT {ids}, CASE WHEN NOT s.is_word THEN s.token WHEN d.score > b.score THEN d.key ELSE b.word END AS token
+    FROM {slots} s LEFT JOIN {name}_drawn d USING ({ids}) LEFT JOIN {name}_any b USING ({ids})
     """)
 
 
@@ -519,6 +528,41 @@ cte("rep_words", "SELECT word, 0.0::DOUBLE AS u FROM word_counts")
 redrawn("rd", "rep_queries", "rep_members", "rep_words", "word", DRAW_SEED)
 
 
+# The sweep: words of turns by role, triples of documents by source, each over its grid.
+def run_grid(name: str, source: str, dataset: str) -> None:
+    cte(name, f"""
+    SELECT dataset, epsilon, printf('%.4f', epsilon) AS run FROM (
+      SELECT {dataset} AS dataset, round(floor(avg({word_tokens(tokens('text'))})) * f, 4) AS epsilon
+      FROM {source}, (VALUES {', '.join(f'({f}::DOUBLE)' for f in FACTORS)}) x(f) GROUP BY {dataset}, f)
+    """)
+
+
+def run_id(dataset: str, doc_id: str) -> str:
+    return f"concat(length({dataset}), ':', {dataset}, '/', {doc_id})"
+
+
+run_grid("role_grid", "turns", "role")
+run_grid("source_grid", "docs", "source")
+cte("run_slots", f"""
+SELECT {run_id('t.role', 'doc_id')} AS doc_id, pos, token, is_word, g.run, g.epsilon / nw AS eps, t.role, g.epsilon, t.doc_id AS of_doc
+FROM turn_slots s JOIN turns t USING (doc_id) JOIN role_grid g ON g.dataset = t.role
+""")
+cte("run_queries", "SELECT doc_id, pos, run, lower(token) AS word, eps FROM run_slots WHERE is_word")
+redrawn("rr", "run_queries", "rep_members", "rep_words", "word", DRAW_SEED, "run_slots", True)
+cte("triple_run_queries", f"""
+SELECT {run_id('d.source', 'q.doc_id')} AS doc_id, q.pos, q.vec, q.cluster_id, g.run,
+       g.epsilon / count(*) OVER (PARTITION BY q.doc_id, g.run) AS eps
+FROM text_queries q JOIN docs d USING (doc_id) JOIN source_grid g ON g.dataset = d.source
+""")
+draw("tr", "triple_run_queries", "store_members", "cluster_id", "doc_id, pos", f"q.eps / 2.0 * {SIMILARITY}", DRAW_SEED, True)
+cte("run_chosen", "SELECT d.doc_id, d.run, d.pos, s.text AS triple FROM tr_drawn d JOIN store s USING (key)")
+_ends = parse_ends("triple")
+cte("run_texts", f"""
+SELECT doc_id, run, string_agg(concat(concat_ws(' ', {_ends[0]}, {_ends[1]}, {_ends[2]}), '.'), ' ' ORDER BY pos) AS text
+FROM run_chosen GROUP BY doc_id, run
+""")
+
+
 def logit_utility(probability: str) -> str:
     return f"round(({clamp(f'ln({probability})', LM_LOW, LM_HIGH)} - ({LM_LOW})) / {LM_HIGH - LM_LOW}, 12)"
 
@@ -770,8 +814,13 @@ _SQL = {
         SELECT doc_id, {detokenize('list(token ORDER BY pos)')} AS text FROM md_out GROUP BY doc_id""",
     "epsilon_grid": "SELECT dataset, epsilon FROM grid",
     "sweep": f"""
-        SELECT g.dataset, 'words' AS method, g.epsilon, d.doc_id, md5(array_to_string({words('d.text')}, ' ')) AS digest
-        FROM docs d JOIN grid g ON g.dataset = d.source""",
+        SELECT role AS dataset, 'words' AS method, epsilon, of_doc AS doc_id, md5({detokenize('toks')}) AS digest
+        FROM (SELECT s.role, s.epsilon, s.of_doc, list(o.token ORDER BY s.pos) AS toks
+              FROM run_slots s JOIN rr_out o USING (doc_id, pos, run) GROUP BY ALL)
+        UNION ALL
+        SELECT g.dataset, 'triples', g.epsilon, d.doc_id, md5(t.text)
+        FROM docs d JOIN source_grid g ON g.dataset = d.source
+        LEFT JOIN run_texts t ON t.doc_id = {run_id('d.source', 'd.doc_id')} AND t.run = g.run""",
     "resume_grid": """
         SELECT dataset, epsilon FROM grid
         WHERE epsilon > (SELECT min(o.epsilon) FROM grid o WHERE o.dataset = grid.dataset)""",

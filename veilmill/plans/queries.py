@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 DRAW_SEED = "7"
 EPSILON = 10.0
 CELL_BITS = 6
+TURNS = 1 << 20  # of a conversation at most, for ids of turns
 DIM = 32
 VECTOR_DIM = 64  # of the given vectors
 # Budgets of the noise queries, by label modulo 3.
@@ -65,7 +66,7 @@ def datasets(spark: SparkSession, sf: str) -> DataFrame:
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as documents."""
     rows = table(spark, sf, "conversations")
-    return corpus.spread(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    return corpus.spread(rows.select((F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"), "text"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -656,8 +657,25 @@ def _lower_words(df: DataFrame) -> DataFrame:
 
 @query
 def sweep(spark, sf):
-    data = datasets(spark, sf)
-    made = sw.sweep(data, sw.epsilon_grid(data), "words", _lower_words)
+    """Two mechanisms over their grids: words of turns by role, triples of documents by source."""
+    spoken = table(spark, sf, "conversations").select(
+        F.col("role").alias("dataset"), (F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"), "text"
+    )
+    model = ngram_lm.train_ngram_lm(corpus.spread(_lm_corpus(spark, sf)))
+    near = cut_lineage(wordvecs.word_neighbours(wordvecs.projected(wordvecs.information(model)), GAMMA), "near")
+    lm, blocks, centroids = text_store(spark, sf)
+
+    def words(docs: DataFrame) -> DataFrame:
+        return tk.join_tokens(tk.replace_words(docs, near, model.bigrams, "runs", GAMMA, DRAW_SEED))
+
+    def triples(docs: DataFrame) -> DataFrame:
+        return plan.privatize_documents(docs, lm, blocks, centroids, "runs", DRAW_SEED)
+
+    parts = [
+        sw.sweep(data, sw.epsilon_grid(data), name, mechanism)
+        for name, data, mechanism in (("words", spoken, words), ("triples", datasets(spark, sf), triples))
+    ]
+    made = parts[0].unionByName(parts[1])
     return made.select("dataset", "method", "epsilon", "doc_id", F.md5("text").alias("digest"))
 
 
@@ -667,7 +685,7 @@ def resume_grid(spark, sf):
     data = datasets(spark, sf)
     grid = cut_lineage(sw.epsilon_grid(data), "grid")
     smallest = grid.groupBy("dataset").agg(F.min("epsilon").alias("epsilon"))
-    release.write_release(sw.sweep(data, smallest, "words", _lower_words), path)
+    release.write_release(sw.sweep(data, smallest, "words", sw.each_run(_lower_words)), path)
     return sw.resume_grid(grid, release.finished_runs(spark, path), "words")
 
 
