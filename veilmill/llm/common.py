@@ -52,3 +52,8 @@ def drawn(key: Column, wanted: int | Column, of: int | Column) -> Column:
     """Whether the hash of ``key`` puts its row among about ``wanted`` of ``of`` rows; all if there are fewer."""
     place = F.shiftrightunsigned(F.xxhash64(key), 12) / float(1 << 52)
     return place * F.lit(of) < F.lit(wanted)
+
+
+def light(keys: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """A written table of 64-bit keys, marked to be sent to all tasks while it has at most ``most`` rows (32 MB)."""
+    return F.broadcast(keys) if keys.count() <= most else keys

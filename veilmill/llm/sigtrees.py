@@ -34,10 +34,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmill.llm.common import drawn, text_udf
+from veilmill.llm.common import drawn, light, text_udf
 from veilmill.llm.graph import components
 from veilmill.session import cut_lineage
 
@@ -97,18 +97,19 @@ def least_shared(size: int, share: tuple[int, int]) -> int:
 
 
 def described(text: str | None, frequent: np.ndarray, width: int, share: tuple[int, int]) -> tuple:
-    """``n, id, sig, fold, keys`` of a set: size, hash, signature (whole, and of a node's width), and the first
-    shingles in the common order."""
+    """``n, id, sig, fold, rare, keys`` of a set: size, hash, signature (whole, and of a node's width), and the first
+    shingles in the common order, of which ``rare`` aren't among the frequent ones."""
     hashes = shingle_set(text, width)
     n = len(hashes)
     if not n:
-        return 0, None, None, None, None
+        return 0, None, None, None, None, None
     at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
     last = frequent[at] == hashes if len(frequent) else np.zeros(n, bool)
     first = np.concatenate([hashes[~last], hashes[last]])[: n - least_shared(n, share) + 1]
     of = xxhash.xxh64_intdigest(hashes.tobytes())
     sig = signature(hashes)
-    return n, of - (of >> 63 << 64), sig, _folded(sig, BITS // 8), first.view(np.int64)
+    rare = min(len(first), n - int(last.sum()))
+    return n, of - (of >> 63 << 64), sig, _folded(sig, BITS // 8), rare, first.view(np.int64)
 
 
 # ---- trees --------------------------------------------------------------------------------
@@ -377,6 +378,25 @@ def frequent_shingles(docs: DataFrame, width: int = SHINGLE, sample: int = SAMPL
     return np.sort(np.array([r.hash for r in found], np.int64).view(np.uint64))
 
 
+def _shared(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``key, id, n, rest``: the first shingles of the sets that another set of fitting size may hold.
+
+    Rare shingles are exchanged once and met by key; of the sets that hold one, in the order of
+    their sizes, some partner is near enough in size only if a neighbour is.  Frequent ones, of
+    which there are ``FREQUENT`` at most, could be hot, and are taken to be shared.
+    """
+    held = sets.select("id", "n", "rare", F.posexplode("keys").alias("pos", "key")).select(
+        "key", "id", "n", (F.col("n") - F.col("pos")).alias("rest"), (F.col("pos") < F.col("rare")).alias("_rare")
+    )
+    frequent = held.where("not _rare").drop("_rare").distinct()
+    alone = held.where("_rare").drop("_rare").repartition("key").dropDuplicates(["key", "id"])
+    order = Window.partitionBy("key").orderBy("n", "id")
+    part, whole = share
+    alone = alone.select("*", F.lag("n").over(order).alias("_less"), F.lead("n").over(order).alias("_more"))
+    fits = (F.col("_less") * whole >= F.col("n") * part) | (F.col("n") * whole >= F.col("_more") * part)
+    return alone.where(fits).drop("_less", "_more").unionByName(frequent)
+
+
 def _sizes(members: DataFrame, several: Column) -> DataFrame:
     return members.groupBy("key").agg(
         F.count("*").alias("members"), F.sum("n").alias("weight"), F.min("comp").alias("_1"), F.max("comp").alias("_2")
@@ -399,7 +419,7 @@ class Corpus(NamedTuple):
         of = cut_lineage(of, "compared")
         width = self.width
         body = text_udf(lambda: lambda text: shingle_set(text, width).tobytes(), "binary")
-        texts = self.docs.withColumn("version", F.xxhash64("text")).join(of.select("version"), "version", "left_semi")
+        texts = self.docs.withColumn("version", F.xxhash64("text")).join(light(of.select("version")), "version", "left_semi")
         texts = texts.groupBy("version").agg(F.first("text").alias("text"))
         bodies = cut_lineage(of.join(texts, "version").select("id", "sig", body("text").alias("body")), "bodies")
         return cut_lineage(_linked(left.join(bodies, "id"), self.share), "links")
@@ -435,21 +455,16 @@ def classes(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHAR
     docs = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(frequent_shingles(docs, width))
     describe = text_udf(
-        lambda: lambda text: described(text, shared.value, width, share), "n int, id long, sig binary, fold binary, keys array<long>"
+        lambda: lambda text: described(text, shared.value, width, share), "n int, id long, sig binary, fold binary, rare int, keys array<long>"
     )
     marked = docs.select("doc_id", F.xxhash64("text").alias("version"), describe("text").alias("set"))
     marked = cut_lineage(marked.select("doc_id", "version", "set.*"), "sets")
-    kinds = cut_lineage(
-        marked.where("n > 0").groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sig", "fold", "keys")), F.min("version").alias("version")),
-        "kinds",
-    )
-    held = kinds.select("id", "n", F.posexplode("keys").alias("pos", "key")).select(
-        "key", "id", "n", (F.col("n") - F.col("pos")).alias("rest")
-    )
-    several = held.groupBy("key").agg(F.min("id").alias("_1"), F.max("id").alias("_2")).where("_1 < _2").select("key")
-    members = cut_lineage(held.join(several, "key", "left_semi"), "members")
+    members = cut_lineage(_shared(marked.where("n > 0"), share), "members")
     met = cut_lineage(members.groupBy("id").agg(F.max(F.struct("rest", "key", "n")).alias("one")).select("id", "one.*"), "met")
-    known = cut_lineage(kinds.join(met.select("id"), "id", "left_semi").select("id", "sig", "fold", "version"), "signatures")
+    known = marked.join(met.select("id"), "id", "left_semi").groupBy("id").agg(
+        F.first("sig").alias("sig"), F.first("fold").alias("fold"), F.min("version").alias("version")
+    )
+    known = cut_lineage(known, "signatures")
     corpus = Corpus(docs, known, width, share)
 
     links = _first_turns(met.select("key", "id", "n", "rest"), corpus)
