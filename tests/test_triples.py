@@ -63,10 +63,21 @@ def test_star_clusters_overlap(spark):
     assert made == {(0, 1), (0, 2), (3, 2), (3, 4)}
 
 
-def test_star_clusters_equal_sequential_greedy(spark):
+@pytest.mark.parametrize("group_rows", [1 << 18, 20, 0])
+def test_star_clusters_equal_sequential_greedy(spark, monkeypatch, group_rows):
+    """In one group, by some rounds and a group for the rest, and by rounds alone."""
+    monkeypatch.setattr(star, "GROUP_ROWS", group_rows)
     rng = random.Random(5)
     edges = sorted({tuple(sorted(rng.sample(range(30), 2))) for _ in range(60)})
     index, degrees, around = _index(spark, edges)
+    made = star.star_clusters(index, degrees)
+    assert {(r.seed, r.member) for r in made.collect()} == _greedy(around)
+    assert made.count() == made.distinct().count()
+
+
+def test_a_long_chain_has_no_round_limit(spark):
+    n = 5000
+    index, degrees, around = _index(spark, [(i, i + 1) for i in range(n)])
     made = {(r.seed, r.member) for r in star.star_clusters(index, degrees).collect()}
     assert made == _greedy(around)
 

@@ -814,6 +814,9 @@ _SQL = {
         SELECT doc_id, {detokenize('list(token ORDER BY pos)')} AS text FROM md_out GROUP BY doc_id""",
     "epsilon_grid": "SELECT dataset, epsilon FROM grid",
     "sweep": f"""
+        SELECT g.dataset, 'words' AS method, g.epsilon, d.doc_id, md5(array_to_string({words('d.text')}, ' ')) AS digest
+        FROM docs d JOIN grid g ON g.dataset = d.source""",
+    "sweep_mechanisms": f"""
         SELECT role AS dataset, 'words' AS method, epsilon, of_doc AS doc_id, md5({detokenize('toks')}) AS digest
         FROM (SELECT s.role, s.epsilon, s.of_doc, list(o.token ORDER BY s.pos) AS toks
               FROM run_slots s JOIN rr_out o USING (doc_id, pos, run) GROUP BY ALL)

@@ -657,6 +657,13 @@ def _lower_words(df: DataFrame) -> DataFrame:
 
 @query
 def sweep(spark, sf):
+    data = datasets(spark, sf)
+    made = sw.sweep(data, sw.epsilon_grid(data), "words", sw.each_run(_lower_words))
+    return made.select("dataset", "method", "epsilon", "doc_id", F.md5("text").alias("digest"))
+
+
+@query
+def sweep_mechanisms(spark, sf):
     """Two mechanisms over their grids: words of turns by role, triples of documents by source."""
     spoken = table(spark, sf, "conversations").select(
         F.col("role").alias("dataset"), (F.col("conv_id") * TURNS + F.col("turn")).alias("doc_id"), "text"
