@@ -23,6 +23,7 @@ GRANULARITIES = {
 BROADCAST_BYTES = 64 * 1024 * 1024
 MOST_CENTROID_BYTES = 256 * 1024 * 1024  #: k-means keeps all centroids in one matrix
 MOST_RANGES = 16  #: of centroids with a lower bound each
+PLACES = 12  #: decimals of a cosine, so that ties are ties whatever the order of the sums
 CHUNK_CELLS = 4_000_000
 
 
@@ -54,7 +55,7 @@ def _closeness(vectors: np.ndarray, matrix: np.ndarray, metric: str) -> np.ndarr
     if metric == "cosine":
         a = vectors / np.where((n := np.linalg.norm(vectors, axis=1)) == 0, 1.0, n)[:, None]
         b = matrix / np.where((n := np.linalg.norm(matrix, axis=1)) == 0, 1.0, n)[:, None]
-        return a @ b.T
+        return np.round(a @ b.T, PLACES)
     return 2.0 * vectors @ matrix.T - (vectors**2).sum(1)[:, None] - (matrix**2).sum(1)
 
 

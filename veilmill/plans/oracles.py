@@ -291,7 +291,7 @@ SELECT label AS cluster_id, {mean_vec('vec', 64)} AS centroid FROM vecs GROUP BY
 
 
 def nearest(vecs: str, centroids: str, key: str, metric: str = "cosine", out: str = "cluster_id") -> str:
-    score = cosine("v.vec", "c.centroid")
+    score = f"round({cosine('v.vec', 'c.centroid')}, {PLACES})"
     if metric == "euclidean":
         score = "-list_distance(v.vec, c.centroid)"
     return f"""
