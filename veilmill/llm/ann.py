@@ -165,7 +165,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "e
             if not len(b):
                 continue
             index, x = shared.value, np.stack(b["vec"].to_numpy())
-            lists = index.ordered_lists(index.asked(x))[:, : index.probes].astype(np.int32)
+            lists = index.ordered_lists(index.asked(x)).astype(np.int32)
             known = x @ index.sample.T
             enough = known.shape[1] >= most
             floor = np.partition(known, -most, axis=1)[:, -most] - 1e-9 if enough else np.full(len(x), -np.inf)
@@ -173,20 +173,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "e
 
     dealt = cut_lineage(points.mapInPandas(nearest_list, "vec array<double>, ids array<long>, list int"), "dealt")
     asked = asking.groupBy("vec").agg(F.min("id").alias("query"))
-    probing = cut_lineage(
+    asking_all = cut_lineage(
         asked.mapInPandas(probed_lists, "vec array<double>, query long, lists array<int>, floor double"), "probing"
-    ).select("query", F.col("vec").alias("asked"), "floor", F.explode("lists").alias("list"))
-    sizes = dealt.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    crowds = probing.groupBy("list").count().select("list", F.ceil(F.col("count") / ASKED).cast("int").alias("groups"))
-    plan = F.broadcast(cut_lineage(sizes.join(crowds, "list"), "plan"))  # one row a list, MOST_LISTS at most
-    blocks = dealt.join(plan, "list").select(
-        "list", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), "vec", "ids",
-        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"),
-    )
-    meeting = probing.join(plan, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "asked", "floor",
-        F.pmod(F.xxhash64("query"), "groups").cast("int").alias("group"),
     )
+    sizes = dealt.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    sizes = cut_lineage(sizes, "list_sizes")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -199,12 +190,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, vector: str = "e
             "ids": ids[np.concatenate([r for r, _ in found])],
         })
 
-    keys = ["list", "part", "group"]
-    hits = blocks.groupBy(*keys).cogroup(meeting.groupBy(*keys)).applyInPandas(meet, "query long, score double, ids array<long>")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    near = hits.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("n", F.row_number().over(best)).where(
-        F.col("n") <= most
-    )
+
+    def probed(open_: DataFrame, first: int, last: int) -> DataFrame:
+        """The best found in the lists at places ``first`` to ``last`` of each query's order."""
+        probing = open_.select(
+            "query", F.col("vec").alias("asked"), "floor", F.explode(F.slice("lists", first + 1, last - first)).alias("list")
+        )
+        crowds = probing.groupBy("list").count().select("list", F.ceil(F.col("count") / ASKED).cast("int").alias("groups"))
+        plan = F.broadcast(cut_lineage(sizes.join(crowds, "list"), "plan"))  # one row a list, MOST_LISTS at most
+        blocks = dealt.join(plan, "list").select(
+            "list", F.pmod(F.xxhash64("vec"), "parts").cast("int").alias("part"), "vec", "ids",
+            F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"),
+        )
+        meeting = probing.join(plan, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query", "asked", "floor",
+            F.pmod(F.xxhash64("query"), "groups").cast("int").alias("group"),
+        )
+        keys = ["list", "part", "group"]
+        hits = blocks.groupBy(*keys).cogroup(meeting.groupBy(*keys)).applyInPandas(meet, "query long, score double, ids array<long>")
+        found = hits.select("query", "score", F.explode("ids").alias("vec_id"))
+        return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
+
+    # A query whose neighbours lie in other lists goes on until it has its answers or no list is left.
+    first, last, lists = 0, index.probes, len(index.centres)
+    found = cut_lineage(probed(asking_all, first, last).drop("n"), "found")
+    while last < lists:
+        full = found.groupBy("query").count().where(F.col("count") >= most)
+        open_ = cut_lineage(asking_all.join(full, "query", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        first, last = last, min(lists, 2 * last)
+        found = cut_lineage(found.unionByName(probed(open_, first, last).drop("n")), "found")
+    near = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
     answers = near.groupBy("query").agg(F.collect_list(F.struct("n", "vec_id", "score")).alias("near"))
     answers = asked.join(answers, "query").select("vec", "near")
     rows = asking.join(answers, "vec").select(F.col("id").alias("query_id"), F.sort_array("near").alias("near"))
