@@ -13,24 +13,28 @@ whole text is read whatever its length.  Repeated rows give equal results.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
+import pandas as pd
+import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilmill.llm.common import drawn, fold, text_udf
+from veilmill.session import cut_lineage
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 400  #: labelled rows per language that a dictionary is made of
 DICTIONARY_BYTES = 1 << 16  #: bytes of a dictionary, shared equally by those rows
-MOST_LANGUAGES = 500  #: bounds the broadcast: 32 MB of dictionaries
+MOST_LANGUAGES = 500  #: the most frequent ones are learned; bounds the broadcast: 32 MB of dictionaries
+EXCERPT_BYTES = 512  #: of a piece of a text that gives several
 PIECE_BYTES = 8192
 LEVEL = 6
 NARROW = 0.01  #: margin below which a decision is rejected
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANK = bytes(b if chr(b).isalpha() or b > 127 else 32 for b in range(256))
 
 
@@ -39,6 +43,21 @@ def letters_only(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANK).split())
 
 
+def excerpt(text: str, share: int, key: int) -> bytes:
+    """``share`` bytes of the letters of a text, in pieces from places over the whole text that hashes choose."""
+    raw = letters_only(text)
+    if len(raw) <= share:
+        return raw
+    pieces = max(1, share // EXCERPT_BYTES)
+    size = share // pieces
+    out = []
+    for j in range(pieces):
+        u = xxhash.xxh64_intdigest(f"{key}|{j}") / 2**64
+        begin = int((j + u) * (len(raw) - size) / pieces)
+        out.append(raw[begin : begin + size])
+    return b" ".join(out)[:share]
+
+
 @dataclass
 class Dictionaries:
     content: dict[str, bytes]  # by language, most frequent first
@@ -87,31 +106,36 @@ def learn(
 
     Twice as many are drawn first, by a threshold on the hash that the number of different rows of the
     language gives, so no task ranks more than about that.  Equal rows count once.
-    Rows with a null language or no letter in the text don't count.  Each row gives its first
-    ``size / rows`` bytes; classification itself always reads whole texts.
+    Rows with a null language or no letter in the text don't count.  The rows of a language share its
+    ``size`` bytes, each giving excerpts of its whole text, so few rows give more each.  Of more than
+    ``MOST_LANGUAGES`` languages the most frequent are learned.
     """
     usable = labelled.select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("at")
     ).where("lang is not null and text rlike '\\\\p{L}'")
     counts = usable.groupBy("lang").agg(
         F.count("*").alias("count"), F.approx_count_distinct("at").alias("different")
-    ).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    ).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     # No language at all gives an empty map, whose rows are none.
     of = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, float(r.different)))) if counts else F.lit(None).cast("map<string,double>")
     sample = (
-        usable.where(drawn(F.col("at"), 2 * rows, of[F.col("lang")]))
-        .select("lang", "at", F.substring("text", 1, -(-size // rows)).alias("text")).distinct()
-        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text")))
+        usable.where(drawn(F.col("at"), 2 * rows, of[F.col("lang")])).dropDuplicates(["lang", "at"])
+        .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at")))
         .where(F.col("n") <= rows)
-        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "text"))).alias("texts"))
     )
-    texts = {r.lang: [x.text for x in r.texts] for r in sample.collect()}
-    content = {}
-    for r in counts:
-        share = size // max(1, len(texts[r.lang]))
-        content[r.lang] = b" ".join(letters_only(t)[: max(share, size // rows)] for t in texts[r.lang])[-size:]
+    sample = cut_lineage(sample, "dictionary_rows")
+    given = sample.groupBy("lang").agg(F.count("*").alias("given"))
+
+    @F.pandas_udf("binary")
+    def excerpts(texts: pd.Series, given: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([excerpt(t, size // g, k) for t, g, k in zip(texts, given, keys, strict=True)], dtype=object)
+
+    parts = sample.join(given, "lang").select("lang", "n", excerpts("text", "given", "at").alias("part"))
+    found: dict[str, list[tuple[int, bytes]]] = {}
+    for r in parts.collect():  # ``size`` bytes a language
+        found.setdefault(r.lang, []).append((r.n, bytes(r.part)))
+    content = {r.lang: b" ".join(p for _, p in sorted(found.get(r.lang, [])))[:size] for r in counts}
+    content = {lang: c for lang, c in content.items() if c}
     return Dictionaries(content, level, narrow)
 
 
