@@ -146,3 +146,35 @@ def test_release_keeps_names_as_text(spark, tmp_path):
     release.write_release(made, path)
     back = release.read_release(spark, path).select("dataset", "method", "epsilon", "doc_id", "text")
     assert back.schema == made.schema and sorted(map(tuple, back.collect())) == rows
+
+
+def test_ids_do_not_depend_on_the_packing(spark, tmp_path):
+    rows = spark.createDataFrame([(f"text {i % 40}", i % 3, None) for i in range(200)] + [(None, None, None)] * 2, "review string, sentiment int, user_id int")
+    ids = []
+    for k, parts in enumerate((1, 7)):
+        path = str(tmp_path / f"packed{k}")
+        rows.repartition(parts).write.parquet(path)
+        read = corpus.read_dataset(spark, path, "yelp")
+        ids.append(sorted((r.doc_id, r.text or "", r.sentiment or 0) for r in read.collect()))
+        assert read.select("doc_id").distinct().count() == 202
+    assert ids[0] == ids[1]
+
+
+def test_bucketed_store_is_not_shuffled(spark, tmp_path):
+    rows = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 20).alias("label"))
+    held = store.save_bucketed(rows, "bucketed_store", "label", 4, str(tmp_path / "store"))
+    asked = spark.range(20).select(F.col("id").alias("label"), F.lit(1).alias("q"))
+    joined = asked.hint("merge").join(held, "label")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 500  # that of the queries
+    spark.sql("DROP TABLE bucketed_store")
+
+
+def test_perplexity_of_a_light_and_a_heavy_model(spark, monkeypatch):
+    from veilmill.operators import ngram_lm
+
+    texts = spark.createDataFrame([(1, "a b a b c"), (2, "zz a yy"), (3, "..."), (4, "a a a a a b")], "doc_id long, text string")
+    lm = ngram_lm.train_ngram_lm(spark.createDataFrame([(1, "a b c a b"), (2, "b a c")], "doc_id long, text string"))
+    light = sorted(map(tuple, ngram_lm.perplexity(texts, lm, ["doc_id"]).collect()))
+    monkeypatch.setattr(ngram_lm, "LIGHT_MODEL", 0)
+    assert sorted(map(tuple, ngram_lm.perplexity(texts, lm, ["doc_id"]).collect())) == light and [r[:2] for r in light] == [(1, 5), (2, 3), (4, 6)]

@@ -17,6 +17,7 @@ from veilmill.functions import text as tx
 from veilmill.session import cut_lineage
 
 START = "<s>"
+LIGHT_MODEL = 1 << 21  #: bigrams of a model that is sent to all tasks, about 80 MB
 NANO = 1_000_000_000
 
 
@@ -69,17 +70,26 @@ def perplexity(
     """
     words = tx.truncate_tokens(tx.words(F.col("text")), max_tokens)
     split = texts.select(*ids, words.alias("words"))
-    probes = split.select(*ids, F.explode(bigram_pairs(F.col("words"))).alias("b")).select(
-        *ids, "b.prev", "b.word"
-    )
-    floor = -round(math.log(lm.vocabulary) * NANO) if lm.vocabulary else 0
-    scored = probes.join(lm.bigrams.select("prev", "word", "logp"), ["prev", "word"], "left").join(
-        lm.histories.select("prev", "logp_unseen"), "prev", "left"
-    )
-    logp = F.coalesce("logp", "logp_unseen", F.lit(floor))
+    pairs = split.select(*ids, F.explode(bigram_pairs(F.col("words"))).alias("b"))
+    # The bigrams of a text stay in its task until they are counted, and meet the model by 64-bit hashes.
+    probes = pairs.select(*ids, F.xxhash64("b.prev", "b.word").alias("pair"), F.xxhash64("b.prev").alias("before"))
+    known = lm.bigrams.select(F.xxhash64("prev", "word").alias("pair"), "logp")
+    histories = lm.histories.select(F.xxhash64("prev").alias("before"), "logp_unseen")
+    floor = F.lit(-round(math.log(lm.vocabulary) * NANO) if lm.vocabulary else 0)
+    if known.count() <= LIGHT_MODEL:
+        found = probes.join(F.broadcast(known), "pair", "left").join(F.broadcast(histories), "before", "left")
+        scored = found.select(*ids, F.coalesce("logp", "logp_unseen", floor).alias("logp"), F.lit(1).alias("n"))
+    else:
+        counted = probes.groupBy(*ids, "pair", "before").agg(F.count("*").alias("n"))
+        met = cut_lineage(counted.join(known, "pair", "left"), "probes")
+        # Few bigrams aren't known, so that a frequent first word meets its history in no hot task.
+        unseen = met.where("logp is null").drop("logp").join(histories, "before", "left")
+        scored = met.where("logp is not null").select(*ids, "logp", "n").unionByName(
+            unseen.select(*ids, F.coalesce("logp_unseen", floor).alias("logp"), "n")
+        )
     return scored.groupBy(*ids).agg(
-        F.count("*").alias("n_words"),
-        F.exp(-F.sum(logp) / F.count("*") / F.lit(float(NANO))).alias("ppl"),
+        F.sum("n").alias("n_words"),
+        F.exp(-F.sum(F.col("logp") * F.col("n")) / F.sum("n") / F.lit(float(NANO))).alias("ppl"),
     )
 
 

@@ -705,6 +705,13 @@ _SQL = {
         SELECT 'documents' AS dataset, doc_id, text FROM documents
         UNION ALL SELECT 'pages', page_id, html FROM pages
         UNION ALL SELECT 'benchmark', item_id, text FROM benchmark""",
+    "dataset_csv": """
+        SELECT 'documents' AS dataset, (('0x'||substr(md5(content||'/'||row_number() OVER (PARTITION BY content)),1,16))::UBIGINT >> 1)::BIGINT AS doc_id,
+               lang, length(text)::INTEGER AS n_chars
+        FROM (SELECT *, md5(coalesce(length(text)||':'||text, '-')||coalesce(length(lang)||':'||lang, '-')) AS content FROM documents)""",
+    "store_join": f"""
+        SELECT v.vec_id, count(*) AS n, round(max({cosine('v.vec', 'o.vec')}), 6) AS best
+        FROM vecs v JOIN vec_cells c USING (vec_id) JOIN vecs o ON o.label = c.cluster_id GROUP BY v.vec_id""",
     "stream_ingest": "SELECT DISTINCT md5(triple) AS key, triple AS text FROM accepted_triples",
     "ingest_stats": """
         SELECT (SELECT count(*) FROM accepted) AS documents, (SELECT count(DISTINCT triple) FROM accepted_triples) AS triples""",

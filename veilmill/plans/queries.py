@@ -142,6 +142,16 @@ def dataset_projection(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def dataset_csv(spark, sf):
+    """Documents as CSV files without an id column: ids come from the content."""
+    path = f"{scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "documents").select("text", "lang")
+    rows.write.options(header=True, quote='"', escape='"').csv(path)
+    read = corpus.read_dataset(spark, path, corpus.DatasetSpec("documents"), "csv", "text string, lang string")
+    return read.select("dataset", "doc_id", "lang", F.length("text").alias("n_chars"))
+
+
 def _plain_embedded(docs: DataFrame) -> DataFrame:
     return embed_text(tr.document_triples(docs), DIM, "triple")
 
@@ -186,6 +196,20 @@ def label_writeback(spark, sf):
     return store.write_labels(public, labels).drop("vec")
 
 
+@query
+def store_join(spark, sf):
+    """Queries against a store that is bucketed by its label, which the join does not shuffle."""
+    rows = cut_lineage(vectors(spark, sf), "vectors")
+    name = f"store_{uuid.uuid4().hex}"
+    public = rows.select("label", F.col("vec_id").alias("key"), "vec")
+    held = store.save_bucketed(public, name, "label", 8, f"{scratch_dir(spark)}/{name}")
+    near = cl.nearest_centroid(rows, label_centroids(rows, VECTOR_DIM)).select("vec_id", "vec", F.col("cluster_id").alias("label"))
+    met = near.join(held.withColumnRenamed("vec", "other"), "label")
+    return met.groupBy("vec_id").agg(
+        F.count("*").alias("n"), F.round(F.max(vx.cosine(F.col("vec"), F.col("other"))), 6).alias("best")
+    )
+
+
 @query
 def release_roundtrip(spark, sf):
     path = f"{scratch_dir(spark)}/release-{uuid.uuid4().hex}"

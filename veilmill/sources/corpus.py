@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from veilmill.functions.rng import hash_pair
 from veilmill.session import cut_lineage
 
 CUT_BUCKETS = 4096
@@ -38,14 +40,29 @@ DATASETS = {
 }
 
 
+def content_digest(values: list[Column]) -> Column:
+    """md5 of values with their lengths, so that no two rows of different values share a text."""
+    def part(value: Column) -> Column:
+        shown = value.cast("string")
+        return F.coalesce(F.concat(F.length(shown).cast("string"), F.lit(":"), shown), F.lit("-"))
+
+    return F.md5(F.concat(*[part(v) for v in values]))
+
+
 def normalize_dataset(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """``(dataset, doc_id, text)`` followed by the remaining columns.
 
-    Without an id column rows get a unique id that follows the file splits; give one where
-    outputs have to be matched with the originals later.
+    Without an id column rows get 63 bits of md5 of their content and their number among equal
+    rows, the same in any packing of the files and on any number of cores.
     """
-    row_id = F.col(spec.id_col) if spec.id_col else F.monotonically_increasing_id()
     rest = [c for c in df.columns if c not in (spec.text_col, spec.id_col)]
+    if spec.id_col:
+        row_id = F.col(spec.id_col)
+    else:
+        df = df.withColumn("_content", content_digest([F.col(c) for c in (spec.text_col, *rest)]))
+        df = df.withColumn("_occurrence", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
+        digest = F.concat_ws("/", "_content", "_occurrence")
+        row_id = F.shiftrightunsigned(hash_pair(digest)[0], 1)
     return df.select(
         F.lit(spec.name).alias("dataset"),
         row_id.cast("bigint").alias("doc_id"),
