@@ -1,7 +1,9 @@
 """The operators against brute force, and on nulls, empty and long texts, repeats, ties, no rows and clashing columns."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,21 +252,54 @@ def test_neighbours(spark):
     assert ann.neighbours(table.where("vec_id < 5")).count() == 4
 
 
-def test_pipeline_equals_its_steps(spark):
+def brute_copies(rows, seed):
+    """Each id as often as it draws, by the distribution function of its source's mean."""
+    sizes = Counter(source for _, _, source in rows)
+    whole = sum(math.sqrt(n) for n in sizes.values())
+    out = []
+    for i, text, source in rows:
+        mean = math.sqrt(sizes[source]) / whole * len(rows) / sizes[source]
+        u = int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        p = upto = math.exp(-mean)
+        n = 0
+        while upto <= u and n < mean + 10 * math.sqrt(mean) + 30:
+            n += 1
+            p *= mean / n
+            upto += p
+        out += [(i, text)] * n
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tokenizer):
+    """All five stages: SimHash over all pairs, draws one by one and the library's tokens.
+
+    The classifier's verdicts and the passages that go are taken from their operators, which have tests of their own.
+    """
     import corpus_pipeline
+    from veilmill.llm import passages
+    from veilmill.llm.queries import SEED
 
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mixing", "bpe"]
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     good = {r.doc_id for r in quality.predictions(docs, labels).where("predicted = 1").collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
-    cut = [(i, t) for i, _, t in brute_lines(rows)]
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    cut = [(r.doc_id, r.text) for r in passages.shortened(docs.where(docs.doc_id.isin(good))).collect()]
     prints = [brute_print(t) for _, t in cut]
     group = list(range(len(cut)))
     for i in range(len(cut)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                group = [group[j] if g == group[i] else g for g in group]
-    first = {g: min(cut[k][0] for k in range(len(cut)) if group[k] == g) for g in group}
-    assert {r.doc_id for r in got} <= set(first.values())
-    assert len(got) > 0.7 * len(first) and len(corpus_pipeline.STAGES) == 5
+            if group[i] != group[j] and (prints[i] ^ prints[j]).bit_count() <= 4:
+                old = group[i]
+                group = [group[j] if g == old else g for g in group]
+    first = {}
+    for (i, _), g in zip(cut, group, strict=True):
+        first[g] = min(i, first.get(g, i))
+    kept = [(i, t, sources[i]) for i, t in cut if i in set(first.values())]
+    want = []
+    for i, text in brute_copies(kept, SEED):
+        ids = tokenizer[1].encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted(want)
+    assert len(kept) > 0.6 * len(sources)
