@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilmill.functions import vectors as vx
 from veilmill.functions.rng import laplace, normal
+from veilmill.session import cut_lineage
 
 # Encoder scale, clip range in scales, delta.
 SIGMA = 0.2
@@ -17,6 +18,7 @@ NUM_SIGMAS = 0.5
 DELTA = 1e-5
 CLIP_LOW = -SIGMA
 CLIP_HIGH = NUM_SIGMAS * SIGMA
+FEW_SCALES = 1 << 20  #: rows of the table of scales that are broadcast, 24 MB
 METHODS = ("laplace", "gaussian", "analytic_gaussian")
 
 
@@ -122,6 +124,10 @@ def add_noise(
         scales = scales.select(
             F.col("epsilon").alias(epsilon), F.col("k").alias("_k"), F.col("scale").alias("_scale")
         )
+        # A budget a row at most, and few in practice: vectors meet them where they lie, not by budget.
+        scales = cut_lineage(scales, "scales")
+        if scales.count() <= FEW_SCALES:
+            scales = F.broadcast(scales)
         vecs = sized.join(scales, [epsilon, "_k"]).drop("_k")
         scale: Column = F.col("_scale")
     else:

@@ -712,7 +712,7 @@ _SQL = {
     "store_join": f"""
         SELECT v.vec_id, count(*) AS n, round(max({cosine('v.vec', 'o.vec')}), 6) AS best
         FROM vecs v JOIN vec_cells c USING (vec_id) JOIN vecs o ON o.label = c.cluster_id GROUP BY v.vec_id""",
-    "stream_ingest": "SELECT DISTINCT md5(triple) AS key, triple AS text FROM accepted_triples",
+    "stream_ingest": "SELECT DISTINCT md5(triple) AS key, triple AS text FROM survivors JOIN accepted USING (doc_id)",
     "ingest_stats": """
         SELECT (SELECT count(*) FROM accepted) AS documents, (SELECT count(DISTINCT triple) FROM accepted_triples) AS triples""",
     "triple_store_upsert": """

@@ -160,8 +160,14 @@ def _plain_embedded(docs: DataFrame) -> DataFrame:
 def stream_ingest(spark, sf):
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = ingest.stream_corpus(spark, f"{sf}/documents*.parquet")
+    lm = ngram_lm.train_ngram_lm(documents(spark, sf))
+
+    def survivors(batch: DataFrame) -> DataFrame:
+        """Near-duplicates within a document go before its batch is stored."""
+        return prepare.embedded_survivors(batch, lm, DIM)
+
     ingest.stream_ingest(
-        stream, _plain_embedded, f"{base}/store", f"{base}/accepted", f"{base}/checkpoint"
+        stream, survivors, f"{base}/store", f"{base}/accepted", f"{base}/checkpoint"
     ).awaitTermination()
     return store.read_store(spark, f"{base}/store").select("key", "text")
 
