@@ -42,3 +42,26 @@ def test_whole_texts(name):
     assert names(text)[0] == name
     if name not in licenses.TELLING:
         assert names(" ".join(words))[0] == name
+
+
+def test_relatives_of_whole_texts():
+    known = licenses.all_templates()
+    whole = licenses._whole()
+    for name, old, new in (("GPL-3.0", "General", "Affero General"), ("LGPL-2.1", "Lesser", "Library")):
+        text = whole[name]
+        assert name in [x[0] for x in licenses.scan(text, known)]
+        assert name not in [x[0] for x in licenses.scan(text.replace(old, new), known)]
+    clause = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement. "
+    four = whole["BSD-3-Clause"].replace("Neither", clause + "Neither", 1)
+    assert four != whole["BSD-3-Clause"] and "BSD-3-Clause" not in [x[0] for x in licenses.scan(four, known)]
+
+
+def test_short_notices_and_identifiers():
+    known = licenses.all_templates()
+    for text, name in (
+        ("This package is distributed under the MIT License.", "MIT"), ("under the Apache 2.0 license", "Apache-2.0"),
+        ("// SPDX-License-Identifier: GPL-3.0-only", "GPL-3.0"), ("# SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ):
+        assert [x[0] for x in licenses.scan(f"some words before\n{text}\nand after", known)] == [name]
+    assert licenses.scan("under the license of the city, and under the MIT dome", known) == []

@@ -38,9 +38,10 @@ NOTICES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at",
+        "under the Apache 2.0 license", "under the Apache License 2.0",
     ],
-    "MIT": ["Released under the MIT License."],
-    "ISC": ["Released under the ISC License."],
+    "MIT": ["Released under the MIT License.", "under the MIT License"],
+    "ISC": ["Released under the ISC License.", "under the ISC License"],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at",
@@ -115,6 +116,8 @@ SHORT: dict[str, str] = {
         "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
 }
+#: Words that relatives of a whole text have more often.
+_STRANGE = tuple(b"affero lesser library advertising".split())
 #: Words of a whole text that tell it from its relatives.
 TELLING = {"MIT": "included portions", "BSD-3-Clause": "neither endorse promote"}
 
@@ -127,7 +130,8 @@ def _whole() -> dict[str, str]:
 
 #: Notices by license, with the short licenses as a whole.
 TEMPLATES: dict[str, list[str]] = {
-    name: [*NOTICES.get(name, []), *([SHORT[name]] if name in SHORT else [])] for name in sorted({*NOTICES, *SHORT})
+    name: [*NOTICES.get(name, []), f"SPDX-License-Identifier: {name}", *([SHORT[name]] if name in SHORT else [])]
+    for name in sorted({*NOTICES, *SHORT})
 }
 #: Words that tell licenses and versions apart, besides numbers.
 _CRITICAL = frozenset(
@@ -227,7 +231,8 @@ def _agrees(t: Template, window: list[bytes], pairs: list[tuple[int, int]]) -> b
     if not t.must <= {j for _, j in pairs}:
         return False
     if not t.notice:
-        return True
+        span = window[pairs[0][0] : pairs[-1][0] + 1]
+        return all(span.count(w) <= t.words.count(w) for w in _STRANGE)
     return not any(
         _tells(w) for (i, _), (k, _) in zip(pairs, pairs[1:], strict=False) if k - i <= _GAP + 1 for w in window[i + 1 : k]
     )
