@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -47,7 +48,7 @@ FAN = 8  #: children of a node
 BITS = 1024  #: of a node's signature
 WIDEST = 1 << 16  #: bits of a member's signature
 PART = 1024  #: members of a tree
-DENSE = 4  #: possible pairs for each member above which a shard is compared whole
+DENSE = 64  #: possible pairs for each member above which a shard is compared whole
 WEIGHT = 1 << 20  #: shingles of a tree's members
 SAMPLE = 4096  #: rows in which frequent shingles are looked for
 FREQUENT = 1 << 16  #: shingles ordered last at most, of those in FEW texts of the sample
@@ -92,6 +93,14 @@ def _folded(bitmap: bytes, size: int) -> bytes:
     return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size), axis=0).tobytes()
 
 
+def enough(x: bytes, m: int, y: bytes, n: int, share: tuple[int, int]) -> bool:
+    """Whether sets of sizes ``m`` and ``n`` with these signatures can share enough."""
+    size = min(len(x), len(y))
+    a, b = (int.from_bytes(_folded(s, size), "little") for s in (x, y))
+    most = min(m - (a & ~b).bit_count(), n - (b & ~a).bit_count())
+    return most * (share[0] + share[1]) >= share[0] * (m + n)
+
+
 def least_shared(size: int, share: tuple[int, int]) -> int:
     return -(-size * share[0] // share[1])
 
@@ -221,13 +230,8 @@ class Members:
 
     def _enough(self, i: int, j: int) -> bool:
         """The same bound on signatures of full width."""
-        x, y = self.of["sig"][i], self.of["sig"][j]
-        size = min(len(x), len(y))
-        x, y = (int.from_bytes(_folded(s, size), "little") for s in (x, y))
-        m, n = int(self.of["n"][i]), int(self.of["n"][j])
-        part, whole = self.share
-        most = min(m - (x & ~y).bit_count(), n - (y & ~x).bit_count())
-        return most * (part + whole) >= part * (m + n)
+        sig, n = self.of["sig"], self.of["n"]
+        return enough(sig[i], int(n[i]), sig[j], int(n[j]), self.share)
 
     def partnered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of members that may be linked, and the ids of the pairs they are in.
@@ -333,8 +337,12 @@ def _met(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
 
-def _partnered(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The rows of members that have a possible partner by their signatures, each pair in one shard."""
+def _partnered(rows: DataFrame, wide: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The rows of members that have a possible partner by their signatures, each pair in one shard.
+
+    ``wide`` has ``id, n, sig`` of the sets with a signature wider than a node's; pairs of them, each once, are
+    held against these.
+    """
     fields = list(Members.FIELDS)
     kept = fields[:-1]
 
@@ -346,7 +354,17 @@ def _partnered(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
 
     kinds = "key long, low int, high int, part int, id long, comp long, n int, rest int, a long, b long"
     found = cut_lineage(_met(rows).select(*fields).mapInArrow(search, kinds), "possible")
-    one = found.where("a < b").groupBy("a", "b", "id").agg(F.min(F.struct(*(c for c in kept if c != "id"))).alias("one"))
+
+    @F.pandas_udf("boolean")
+    def fits(x: pd.Series, m: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        rows = zip(x, m, y, n, strict=True)
+        return pd.Series([enough(a, int(i), b, int(j), share) for a, i, b, j in rows], dtype=bool)
+
+    pairs = found.where("a < b").select("a", "b").distinct()
+    sides = [wide.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")) for c in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    never = cut_lineage(both.where(~fits("sig_a", "n_a", "sig_b", "n_b")).select("a", "b"), "impossible")
+    one = found.where("a < b").join(never, ["a", "b"], "left_anti").groupBy("a", "b", "id").agg(F.min(F.struct(*(c for c in kept if c != "id"))).alias("one"))
     return one.select("id", "one.*").select(*kept).unionByName(found.where("a = b").select(*kept)).distinct()
 
 
@@ -404,7 +422,7 @@ def _sizes(members: DataFrame, several: Column) -> DataFrame:
 
 
 class Corpus(NamedTuple):
-    """The texts, and ``id, sig, fold, version`` of the different sets that share a shingle with another."""
+    """The texts, and ``id, n, sig, fold, version`` of the different sets that share a shingle with another."""
 
     docs: DataFrame
     known: DataFrame
@@ -414,7 +432,8 @@ class Corpus(NamedTuple):
     def links(self, rows: DataFrame) -> DataFrame:
         """Links in the shards of ``rows``: by signatures first, then by the shingles of what is left."""
         folds = self.known.select("id", F.col("fold").alias("sig"))
-        left = cut_lineage(_partnered(rows.join(folds, "id"), self.share), "partnered")
+        wide = self.known.where(F.octet_length("sig") > BITS // 8).select("id", "n", "sig")
+        left = cut_lineage(_partnered(rows.join(folds, "id"), wide, self.share), "partnered")
         of = self.known.join(left.select("id").distinct(), "id", "left_semi").select("id", "sig", "version")
         of = cut_lineage(of, "compared")
         width = self.width
@@ -462,7 +481,7 @@ def classes(docs: DataFrame, width: int = SHINGLE, share: tuple[int, int] = SHAR
     members = cut_lineage(_shared(marked.where("n > 0"), share), "members")
     met = cut_lineage(members.groupBy("id").agg(F.max(F.struct("rest", "key", "n")).alias("one")).select("id", "one.*"), "met")
     known = marked.join(met.select("id"), "id", "left_semi").groupBy("id").agg(
-        F.first("sig").alias("sig"), F.first("fold").alias("fold"), F.min("version").alias("version")
+        F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("fold").alias("fold"), F.min("version").alias("version")
     )
     known = cut_lineage(known, "signatures")
     corpus = Corpus(docs, known, width, share)
