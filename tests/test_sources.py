@@ -178,3 +178,16 @@ def test_perplexity_of_a_light_and_a_heavy_model(spark, monkeypatch):
     light = sorted(map(tuple, ngram_lm.perplexity(texts, lm, ["doc_id"]).collect()))
     monkeypatch.setattr(ngram_lm, "LIGHT_MODEL", 0)
     assert sorted(map(tuple, ngram_lm.perplexity(texts, lm, ["doc_id"]).collect())) == light and [r[:2] for r in light] == [(1, 5), (2, 3), (4, 6)]
+
+
+def test_upsert_reads_only_touched_prefixes(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.range(300).select(F.concat(F.lit("text "), "id").alias("triple"), F.array(F.lit(1.0)).alias("vec"))
+    store.upsert_triples(store.with_key(rows), path)
+    one = store.with_key(rows.limit(1))
+    held = store.touched(store.read_store(spark, path), one)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    prefix = one.first().key[:1]
+    assert "PartitionFilters: [" in plan and {r.prefix for r in held.select("prefix").distinct().collect()} == {prefix}
+    store.upsert_triples(store.with_key(rows), path)
+    assert store.read_store(spark, path).count() == 300
