@@ -48,7 +48,8 @@ FAN = 8  #: children of a node
 BITS = 1024  #: of a node's signature
 WIDEST = 1 << 16  #: bits of a member's signature
 PART = 1024  #: members of a tree
-DENSE = 64  #: possible pairs for each member above which a shard is compared whole
+DENSE = 4  #: possible pairs for each member above which a shard is compared whole
+DENSE_WIDE = 64  #: the same for members whose signature is wider than a node's, and can rule out more
 WEIGHT = 1 << 20  #: shingles of a tree's members
 SAMPLE = 4096  #: rows in which frequent shingles are looked for
 FREQUENT = 1 << 16  #: shingles ordered last at most, of those in FEW texts of the sample
@@ -241,16 +242,17 @@ class Members:
         """
         shard = self.shard_of_member()
         members = np.bincount(shard)
+        most = np.bincount(shard, weights=np.where(2 * self.of["n"] > BITS, DENSE_WIDE, DENSE))
         count, marked, held = np.zeros(len(members), np.int64), np.zeros(len(shard), bool), []
         for a, b in self.pairs():
             count += np.bincount(shard[a], minlength=len(members))
             marked[a] = marked[b] = True
-            sparse = count[shard[a]] <= DENSE * members[shard[a]]
+            sparse = (count <= most)[shard[a]]
             held.append((a[sparse], b[sparse]))
         a, b = (np.concatenate([h[i] for h in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
-        sparse = count[shard[a]] <= DENSE * members[shard[a]]
+        sparse = (count <= most)[shard[a]]
         a, b = a[sparse], b[sparse]
-        dense = np.flatnonzero(marked & (count > DENSE * members)[shard])
+        dense = np.flatnonzero(marked & (count > most)[shard])
         ids = self.of["id"]
         low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
         return np.concatenate([a, b, dense]), np.concatenate([low, low, ids[dense]]), np.concatenate([high, high, ids[dense]])
