@@ -12,6 +12,7 @@ FAST = [
     "corpus_filter", "corpus_cap", "detokenize", "extract_triples", "lsh_index", "perplexity",
     "nearest_centroid", "cluster_topk", "exponential_mechanism", "privatize_triples_hot",
     "noise_analytic", "sample_tokens", "resume_grid", "reconstruct_text", "judge_means",
+    "cosine_summary", "cosine_by_model", "score_log", "release_roundtrip", "release_discovery",
 ]
 
 

@@ -68,7 +68,7 @@ def test_release_partitions_and_resume(spark, tmp_path):
     lower = lambda df: df.select("doc_id", F.lower("text").alias("text"))
     path = str(tmp_path / "out")
     assert release.finished_runs(spark, path).isEmpty()
-    release.write_release(sw.sweep(data, grid.filter("epsilon > 1"), "m", lower), path)
+    release.write_release(sw.sweep(data, grid.filter("epsilon > 1"), "m", sw.each_run(lower)), path)
     left = sw.resume_grid(grid, release.finished_runs(spark, path), "m").collect()
     assert [r.epsilon for r in left] == [0.3]
 
@@ -191,3 +191,41 @@ def test_upsert_reads_only_touched_prefixes(spark, tmp_path):
     assert "PartitionFilters: [" in plan and {r.prefix for r in held.select("prefix").distinct().collect()} == {prefix}
     store.upsert_triples(store.with_key(rows), path)
     assert store.read_store(spark, path).count() == 300
+
+
+def test_score_logs_replace_themselves(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    schema = "dataset string, cs double, other double"
+    assert release.read_scores(spark, path, schema).count() == 0
+    rows = spark.createDataFrame([("a", 0.5), ("b", None)], "dataset string, cs double")
+    for _ in range(2):
+        release.export_scores(rows, path, "cosine")
+    release.export_scores(rows.select("dataset", F.lit(2.0).alias("other")).where("dataset = 'a'"), path, "judge")
+    back = sorted(map(tuple, release.read_scores(spark, path, schema).collect()), key=repr)
+    assert back == [("a", 0.5, None, "cosine"), ("a", None, 2.0, "judge"), ("b", None, None, "cosine")]
+
+
+def test_large_runs_get_several_files_and_small_ones_share(spark, tmp_path):
+    path = str(tmp_path / "release")
+    many = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    runs = many.select("*", F.lit("big").alias("dataset"), F.lit("m").alias("method"), F.lit(1.0).alias("epsilon"))
+    runs = runs.unionByName(runs.where("doc_id < 3").withColumn("dataset", F.lit("small")))
+    kept = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        release.write_release(runs, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", kept)
+    files = [len(list((tmp_path / "release" / f"dataset={d}").rglob("*.parquet"))) for d in ("big", "small")]
+    assert files[0] > 2 and files[1] == 1
+    assert release.read_release(spark, path).groupBy("dataset").count().orderBy("dataset").collect() == [("big", 40_000), ("small", 3)]
+
+
+def test_originals_are_embedded_once(spark):
+    data = spark.createDataFrame([("d", 1, "red apples fall"), ("d", 2, None), ("d", 3, "blue")], "dataset string, doc_id long, text string")
+    private = spark.createDataFrame(
+        [("d", "m", 1.0, 1, "red apples"), ("d", "m", 2.0, 1, "pears"), ("d", "m", 1.0, 3, None)],
+        "dataset string, method string, epsilon double, doc_id long, text string",
+    )
+    once = evaluate.cosine_of_runs(data, private)
+    assert sorted(once.collect()) == sorted(evaluate.cosine_by_model(evaluate.eval_align(data, private)).collect())

@@ -31,8 +31,8 @@ class NgramModel(NamedTuple):
 
 
 def bigram_pairs(words: Column) -> Column:
-    """Array of ``(prev, word)`` structs, the start token before the first word."""
-    prev = F.concat(F.array(F.lit(START)), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+    """Array of ``(prev, word)`` structs, the start token before the first word; empty without words."""
+    prev = F.slice(F.concat(F.array(F.lit(START)), words), F.lit(1), F.size(words))
     return F.zip_with(prev, words, lambda p, w: F.struct(p.alias("prev"), w.alias("word")))
 
 

@@ -859,6 +859,15 @@ _SQL = {
           FROM aligned) WHERE r <= 20""",
     "text_quality": "SELECT dataset, doc_id, metric, round(score, 4) AS score FROM nodp_q_scores",
     "judge_means": "SELECT * FROM nodp_q_means",
+    "score_log": """
+        SELECT dataset, method, epsilon, 'cosine' AS log, round(avg(cos), 3) AS cs, NULL::DOUBLE AS bigram_ppl,
+               NULL::DOUBLE AS sent_len_stddev, NULL::DOUBLE AS mean_word_len, NULL::DOUBLE AS length_ratio,
+               NULL::DOUBLE AS repeated_bigram_ratio
+        FROM model_cos GROUP BY ALL
+        UNION ALL
+        SELECT dataset, method, epsilon, 'judge', NULL, bigram_ppl, sent_len_stddev, mean_word_len, length_ratio,
+               repeated_bigram_ratio
+        FROM nodp_q_means""",
     "eval_baseline": "SELECT * FROM base_q_means",
     "eval_private": "SELECT * FROM runs_q_means",
 }

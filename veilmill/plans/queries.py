@@ -786,14 +786,14 @@ def eval_align(spark, sf):
 
 @query
 def cosine_by_model(spark, sf):
-    made = evaluate.cosine_by_model(evaluate.eval_align(datasets(spark, sf), verbalized(spark, sf)))
+    made = evaluate.cosine_of_runs(datasets(spark, sf), verbalized(spark, sf))
     return made.withColumn("cos", F.round("cos", 6))
 
 
 @query
 def cosine_summary(spark, sf):
     made = evaluate.cosine_summary(
-        evaluate.cosine_by_model(evaluate.eval_align(datasets(spark, sf), verbalized(spark, sf)))
+        evaluate.cosine_of_runs(datasets(spark, sf), verbalized(spark, sf))
     )
     shown = F.array_join(F.transform("scores", lambda s: F.format_string("%.4f", s)), ",")
     return made.withColumn("scores", shown)
@@ -824,6 +824,16 @@ def judge_means(spark, sf):
     return evaluate.judge_means(_quality(spark, sf))
 
 
+@query
+def score_log(spark, sf):
+    path = f"{scratch_dir(spark)}/scores-{uuid.uuid4().hex}"
+    data, private = datasets(spark, sf), verbalized(spark, sf)
+    release.export_scores(evaluate.cosine_summary(evaluate.cosine_of_runs(data, private)).drop("scores"), path, "cosine")
+    release.export_scores(evaluate.judge_means(_quality(spark, sf)), path, "judge")
+    schema = ", ".join(f"{c} double" for c in ("epsilon", "cs", *evaluate.METRICS))
+    return release.read_scores(spark, path, f"dataset string, method string, {schema}")
+
+
 @query
 def eval_baseline(spark, sf):
     data = datasets(spark, sf)
