@@ -1,9 +1,10 @@
 """Surrogates for personal data.
 
-``find`` locates e-mail addresses, telephone numbers, IP addresses, card numbers, keys, tokens,
-passwords and titled names.  Each entity gets a replacement of its own type, drawn from HMAC-SHA256 of
+``find`` locates e-mail addresses, telephone numbers, IP addresses (both versions), card numbers, IBANs
+with right check digits, keys, tokens, passwords and titled names of up to four words; ``mentions`` adds
+every later or earlier capitalised mention of a part of such a name in the same text.  Each entity gets a replacement of its own type, drawn from HMAC-SHA256 of
 a secret key, the type and the entity in normal form: digits become digits, letters letters of the same
-case, punctuation stays, card numbers keep a valid check digit and their first digit, addresses of one
+case, punctuation stays, card numbers keep a valid check digit and their first digit, IBANs their country and valid check digits, addresses of one
 domain share a domain, names keep gender, script and title.  The same entity gets the same surrogate
 in every document.  First and last names are entities of their own, so a last name alone agrees with the
 whole name; a first name is the same wherever its title tells the same gender.
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -54,38 +57,74 @@ SYLLABLES = {
 _FEMALE_NAMES = frozenset(x for (_, g), names in FIRST.items() if g == "f" for x in names)
 _MALE_NAMES = frozenset(x for (_, g), names in FIRST.items() if g == "m" for x in names)
 
+#: Words that a sentence may put behind a title without meaning a name (fixed values).
+NO_NAMES = frozenset(
+    "And Are At But Can Could Did Do Does For From Had Has Have He How I If In Is It May Might Must My No Not "
+    "Of On Or Our She Should So That The Then There They This To Was We What When Where Which Who Why Will With Would You Your".split()
+)
+
+_NO_NAMES = NO_NAMES | set(TITLES)
 _NAME = r"[^\W\d_][^\W\d_'’-]+"
 _PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<=password=)[^\s\"']+|(?<=token = \")[^\s\"']+|(?<=token=)[^\s\"']+|\bAKIA[0-9A-Z]{16}\b|\b[0-9a-f]{32,64}\b",
     "ip": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:{1,2}){1,7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\w-])",
     "national": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])",
-    "person": rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<!\w)(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {_NAME}(?: {_NAME}){{0,3}}",
 }
 _ALL = re.compile("|".join(f"(?P<{kind}>{p.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for kind, p in _PATTERNS.items()))
 _ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}")
 _TRIGGER = re.compile(r"[@\d]|password=|token ?=")
 
 
+def _valid(kind: str, shown: str) -> bool:
+    """Whether a find is what it looks like."""
+    if kind == "secret":  # a masked value, such as password=***, has nothing to replace
+        return any(c.isalpha() or c.isdigit() for c in shown)
+    if kind == "iban":
+        return _iban_rest(shown.replace(" ", "")) == 1
+    if kind == "ipv6":
+        try:
+            return bool(ipaddress.IPv6Address(shown)) and sum(c != ":" for c in shown) >= 8
+        except ValueError:
+            return False
+    return True
+
+
+def _iban_rest(shown: str) -> int:
+    return int("".join(str(int(c, 36)) for c in shown[4:] + shown[:4])) % 97
+
+
+def _without_genitive(word: str) -> str:
+    return word[:-2] if len(word) > 3 and word[-2:] in ("'s", "\u2019s") else word
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """``(type, begin, end)`` of each entity, in order."""
     if not text or not (_TRIGGER.search(text) or any(t in text for t in TITLES)):
         return []
-    found = []
-    for m in _ALL.finditer(text):
-        if m.lastgroup == "person" or m["person"]:
-            parts = m[0].split(" ")
-            names = [p for p in parts[1:3] if p[:1].isupper()]
-            if not names or names[0] != parts[1]:
+    found, at = [], 0
+    while m := _ALL.search(text, at):
+        kind = next(k for k in _PATTERNS if m[k])
+        begin, at = m.start(), m.end()
+        if kind == "person":
+            title, *parts = m[0].split(" ")
+            names = list(takewhile(lambda x: x[:1].isupper(), parts))
+            if not names or names[0] in _NO_NAMES:
+                at = begin + len(title)
                 continue
-            found.append(("person", m.start() + len(parts[0]) + 1, m.start() + len(" ".join([parts[0], *names]))))
-        else:
-            kind = next(k for k in _PATTERNS if m[k])
-            # A masked value, such as password=***, has nothing to replace.
-            if kind != "secret" or any(c.isalpha() or c.isdigit() for c in m[0]):
-                found.append((kind, m.start(), m.end()))
+            names = list(takewhile(lambda x: x not in _NO_NAMES, names))
+            at = begin + len(" ".join([title, *names]))
+            names[-1] = _without_genitive(names[-1])
+            found.append((kind, begin + len(title) + 1, begin + len(" ".join([title, *names]))))
+        elif _valid(kind, m[0]):
+            found.append((kind, begin, at))
+        elif kind != "secret":
+            at = begin + 1
     return found
 
 
@@ -93,6 +132,10 @@ def normal(kind: str, shown: str) -> str:
     """The form in which an entity is the same wherever it is written."""
     if kind in ("card", "phone", "national"):
         return "+" * shown.startswith("+") + "".join(c for c in shown if c.isdigit())
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(shown).exploded
+    if kind == "iban":
+        return shown.replace(" ", "")
     return shown.lower() if kind == "email" or "name" in kind else shown
 
 
@@ -182,6 +225,19 @@ def surrogate(key: bytes, kind: str, shown: str, attempt: int = 0) -> str:
         return made.upper() if shown.isupper() else made
     if kind == "ip":
         return ".".join([str(1 + stream.below(223)), *(str(stream.below(256)) for _ in range(3))])
+    if kind == "ipv6":
+        # Groups of zeros stay, so that an address is shortened where the original is.
+        groups = [g if g == "0000" else f"{1 + stream.below(0xFFFF):04x}" for g in entity.split(":")]
+        if "::" in shown:
+            made = str(ipaddress.IPv6Address(":".join(groups)))
+        else:
+            full = all(len(g) == 4 for g in shown.split(":"))
+            made = ":".join(g if full else f"{int(g, 16):x}" for g in groups)
+        return made.upper() if shown.isupper() else made
+    if kind == "iban":
+        rest = stream.like(entity[4:])
+        made = iter(f"{entity[:2]}{98 - _iban_rest(entity[:2] + '00' + rest):02d}{rest}")
+        return "".join(c if c == " " else next(made) for c in shown)
     if kind in ("card", "phone", "national"):
         entity = entity.lstrip("+")
         digits = stream.like(entity)
@@ -207,11 +263,30 @@ def _gender(text: str, begin: int) -> str:
     return next((g for t, g in sorted(TITLES.items(), key=lambda x: -len(x[0])) if title.endswith(t)), "n")
 
 
+_WORD = re.compile(r"[^\W\d_]+(?:['\u2019-][^\W\d_]+)*")
+
+
 def mentions(text: str | None) -> list[tuple[str, int, int, list[tuple[str, str]]]]:
-    """``(type, begin, end, units)`` of each entity."""
-    return [
+    """``(type, begin, end, units)`` of each entity, other mentions of a text's names among them."""
+    found = [
         (kind, b, e, units(kind, text[b:e], _gender(text, b) if kind == "person" else "n")) for kind, b, e in find(text)
     ]
+    known: dict[str, str] = {}
+    for kind, _, _, parts in found:
+        for k, x in parts if kind == "person" else ():
+            known.setdefault(x.lower(), k)
+    if not known:
+        return found
+    # One pass over the words between the entities; a name counts where it begins with a capital.
+    out, at = [], 0
+    for entity in [*found, ("", len(text), len(text), [])]:
+        for m in _WORD.finditer(text, at, entity[1]):
+            word = _without_genitive(m[0])
+            if word[0].isupper() and word not in _NO_NAMES and word.lower() in known:
+                out.append(("person", m.start(), m.start() + len(word), [(known[word.lower()], word)]))
+        out.append(entity)
+        at = entity[2]
+    return out[:-1]
 
 
 def replace(text: str | None, key: bytes, drawn: dict[tuple[str, str], int]) -> tuple[str | None, list[str], list[int], list[int]]:
