@@ -215,3 +215,16 @@ def test_noise_asks_for_a_seed(spark):
     vecs = spark.createDataFrame([(1, 0, [0.5])], "doc_id long, pos int, vec array<double>")
     with pytest.raises(TypeError):
         noise.add_noise(vecs, 10.0, "laplace", dim=1)
+
+
+def test_small_blocks_meet_queries_in_sets(spark):
+    """Copies of queries don't grow with the number of blocks, and the same members are found."""
+    rows = spark.createDataFrame([(i % 3, i, [float(i % 7), 1.0, float(i % 5)]) for i in range(300)], "g int, k long, vec array<double>")
+    tops, copies = [], []
+    for size in (4, 2048):
+        blocks = draw.member_blocks(rows, ["g"], "k", ["vec"], size)
+        queries = rows.select("g", F.col("k").alias("q"), "vec")
+        found = draw.topk_in_group(queries, blocks, ["g"], ["q"], similarity, 3)
+        tops.append(sorted(tuple(r) for r in found.collect()))
+        copies.append(draw._met(queries, blocks, ["g"], ["q"], lambda a, m: iter([a.select(["q"])]), "q long").count())
+    assert tops[0] == tops[1] and copies == [300, 300]
