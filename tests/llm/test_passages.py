@@ -57,3 +57,15 @@ def test_runs_in_other_surroundings_go(spark):
     assert passages.shortened(docs.limit(0)).count() == 0
     before = {r.doc_id: r.text for r in linechunks.shortened(docs).collect()}
     assert len(kept_repeats([before[i] for i in range(len(texts))][:-1])) > 50
+
+
+def test_only_texts_with_repeats_are_exchanged(spark, monkeypatch):
+    run = "\n".join(f"line {i} " + "word " * 9 for i in range(8))
+    rows = [(1, run), (2, "own start\n" + run), (2, "own start\n" + run), (None, run + "\nown end"), (4, "alone"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = passages.deduplicated(docs)
+    assert "left_anti" in made._jdf.queryExecution().analyzed().toString().lower().replace("leftanti", "left_anti")
+    light = sorted(map(str, made.collect()))
+    monkeypatch.setattr(passages, "LIGHT_KEYS", 0)
+    assert sorted(map(str, passages.deduplicated(docs).collect())) == light
+    assert sum(r._n_removed for r in made.collect()) == 3

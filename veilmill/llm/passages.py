@@ -7,7 +7,8 @@ all its lines: from a line with enough words behind it in the run the one that b
 the one that ends at the run's last line.  Equal windows and chunks are found by hash, then compared byte by
 byte; lines of all but the first (smallest id, then text hash and line) go.
 
-Hashes are exchanged for all windows; texts only of those whose hash repeats, and counts before minima, so a
+Hashes are exchanged for all windows; texts only of documents with one whose hash repeats (told by their keys,
+broadcast while there are at most ``LIGHT_KEYS``; all texts beyond), and counts before minima, so a
 passage in a third of all documents meets in no task.  A window that overlaps the first one of its text keeps
 the lines of that first one.
 
@@ -25,12 +26,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmill.llm.linechunks import LONG_WORDS, chunks
 from veilmill.session import cut_lineage
 
+LIGHT_KEYS = 1 << 22  #: documents whose keys are sent to all tasks
+
 
 def windows(text: str | None, least: int = LONG_WORDS) -> tuple[list[str], list[tuple[int, int]]]:
     """The lines of a text, and begin and end of its chunks and windows."""
@@ -84,6 +87,18 @@ def _chunks(texts: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def _parted(rows: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that can meet ``found(_id, _version)``, and the others, or all rows and None if too many are found.
+
+    Rows are told by a hash of id and version before any text is exchanged; a join by both follows.
+    """
+    if found.count() > LIGHT_KEYS:
+        return rows, None
+    keys = F.broadcast(found.select(F.xxhash64("_id", "_version").alias("_key")).distinct())
+    keyed = rows.withColumn("_key", key)
+    return tuple(keyed.join(keys, "_key", how).drop("_key") for how in ("left_semi", "left_anti"))
+
+
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``id, version`` (hash of the text) and ``places`` (begin and end) of the lines of each document that go."""
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
@@ -91,13 +106,15 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     hashes = cut_lineage(rows.mapInArrow(_hashes, f"id {kind}, version long, b int, e int, hash long"), "windows")
     at = F.struct(F.col("id").isNull().alias("last"), "id", "version", "b", "e").alias("at")
     ends = [F.min("at").alias("first"), F.max("at").alias("other")]
-    more = hashes.select(at, "hash").groupBy("hash").agg(*ends).where("first < other").select("hash")
+    more = hashes.groupBy("hash").count().where("count > 1").select("hash")
     hits = hashes.join(more, "hash", "left_semi").groupBy(F.col("id").alias("_id"), F.col("version").alias("_version")).agg(
         F.collect_set(F.struct("b", "e", "hash")).alias("places")
     )
+    hits = cut_lineage(hits, "hits")
     # Equal rows give equal windows, which change neither minima nor what goes.
     cut = F.pandas_udf(_chunks, "array<struct<b:int,e:int,hash:bigint,chunk:string>>")
-    met = rows.join(hits, rows["id"].eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
+    some, _ = _parted(rows, F.xxhash64("id", "version"), hits)
+    met = some.join(hits, rows["id"].eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
     members = met.select("id", "version", F.explode(cut("text", "places")).alias("c")).select("id", "version", "c.*")
     members = cut_lineage(members.select(at, "hash", "chunk"), "passages")
     firsts = members.groupBy("hash", "chunk").agg(*ends).where("first < other").drop("other")
@@ -125,6 +142,7 @@ def without(text: str | None, places: list | None) -> tuple[str | None, int]:
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """All rows with all columns, ``text`` less its repeated passages, and ``_n_removed``."""
     gone = repeated(docs, text, doc_id).select(F.col("id").alias("_id"), F.col("version").alias("_version"), F.col("places").alias("_places"))
+    gone = cut_lineage(gone, "gone")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, places in batches:
@@ -132,9 +150,11 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             made = [without(t, p) for t, p in zip(texts, pairs, strict=True)]
             yield pd.DataFrame({"text": pd.Series([x for x, _ in made], dtype=object), "n": pd.Series([n for _, n in made], dtype="int32")})
 
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_version")), "left")
+    some, rest = _parted(docs, F.xxhash64(F.col(doc_id), F.xxhash64(text)), gone)
+    joined = some.join(gone, some[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(some[text]) == F.col("_version")), "left")
     made = joined.withColumn("_cut", F.pandas_udf(cut, "text string, n int")(F.col(text), F.col("_places")))
-    return made.withColumn(text, F.col("_cut.text")).withColumn("_n_removed", F.col("_cut.n")).drop("_id", "_version", "_places", "_cut")
+    made = made.withColumn(text, F.col("_cut.text")).withColumn("_n_removed", F.col("_cut.n")).drop("_id", "_version", "_places", "_cut")
+    return made if rest is None else made.unionByName(rest.withColumn("_n_removed", F.lit(0)))
 
 
 def shortened(docs: DataFrame) -> DataFrame:
